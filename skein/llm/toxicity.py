@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import code_points, distinct_words, held_out, labelled_sample, mixed, saved, slices, sums, text_of, with_columns
+from .shared import code_points, distinct_words, held_out, labelled_sample, mixed, offsets_of, saved, slices, sums, text_of, with_columns
 
 THRESHOLD = 0.3
 #: Labelled documents of each class, windows and seed words that the model is fitted on, at most.
 PER_CLASS = 4000
-WINDOWS = 40_000
+WINDOWS = 16_000
 SEEDS = 5000
 LENGTH = 32
 BITS = 18
@@ -147,17 +147,16 @@ def score_texts(text: pa.Array, field: Field) -> tuple[np.ndarray, np.ndarray, n
     return 1 / (1 + np.exp(-np.clip(z, -30, 30))), offsets, p
 
 
-def fit_field(words: list[list[str]], tagged: list[list[int]], epochs: int = 40, rate: float = 0.3, ridge: float = 1e-4) -> Field:
-    """Gradient ascent (AdaGrad) on the likelihood of tagged windows of at most LENGTH words."""
+def fit_field(words: pa.ListArray, y: np.ndarray, epochs: int = 40, rate: float = 0.3, ridge: float = 1e-4) -> Field:
+    """Gradient ascent (AdaGrad) on the likelihood of windows of at most LENGTH words; y tags each word with 0 or 1."""
     field = Field(np.zeros(1 << BITS), np.zeros((2, 2)), -3.0, np.asarray([-4.0, 4.0, 2.0, 0.0]))
-    if not words or not any(map(any, tagged)):
+    if not y.any():
         return field
-    size = np.asarray(list(map(len, words)))
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    coded = pa.array([w for x in words for w in x], pa.string()).dictionary_encode()
+    offsets = offsets_of(words)
+    size = np.diff(offsets)
+    coded = words.flatten().dictionary_encode()
     per_word = word_features(coded.dictionary)
     codes = np.asarray(coded.indices, dtype=np.int64)
-    y = np.asarray([t for x in tagged for t in x], dtype=np.int64)
     row = np.repeat(np.arange(len(size)), size)
     column = np.arange(len(y)) - offsets[row]
     mask = np.zeros((len(size), LENGTH), bool)
@@ -217,9 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fie
     split_docs = saved(sample.select("doc_id", "y", "text").mapInArrow(split, f"doc_id {kind}, y int, words array<string>"), "toxic-sample")
 
     # Copies of a document repeat its contexts, so distinct contexts count it once.
-    at = split_docs.select("y", "words", F.posexplode("words").alias("i", "word")).where("word <> ''")
-    side = lambda d: F.coalesce(F.get("words", F.col("i") + d), F.lit(""))
-    near = at.select("y", "word", F.xxhash64(side(-1), side(1)).alias("context")).distinct()
+    side = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    placed = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.xxhash64(side(i - 1), side(i + 1)).alias("context")))
+    near = split_docs.select("y", F.explode(placed).alias("at")).select("y", "at.word", "at.context").where("word <> ''").distinct()
     counts = near.groupBy("word").agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean"))
     total = {r["y"]: r["n"] for r in split_docs.groupBy("y").agg(F.sum(F.size("words")).alias("n")).collect()}
     ratio = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * ((total.get(0) or 1) / (total.get(1) or 1))
@@ -231,10 +230,17 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fie
     lexicon = [r["word"] for r in seeds.collect()]
     known = F.array(*[F.lit(w) for w in lexicon]) if lexicon else F.array().cast("array<string>")
     pieces = pieces.withColumn("hit", (F.col("y") == 1) & F.arrays_overlap("words", known))
-    chosen = pieces.orderBy(F.desc("hit"), F.xxhash64("doc_id", "k"), "doc_id", "k").limit(WINDOWS).select("y", "words").collect()
-    marked = set(lexicon)
-    rows = sorted((list(r["words"]), r["y"]) for r in chosen)
-    field = fit_field([w for w, _ in rows], [[int(y == 1 and x in marked) for x in w] for w, y in rows])
+    # As many with a seed in toxic documents as others, among these those of clean documents with a seed first.
+    order = [F.xxhash64("doc_id", "k"), F.col("doc_id"), F.col("k")]
+    chosen = pieces.where("hit").orderBy(*order).limit(WINDOWS // 2).unionByName(
+        pieces.where("not hit").orderBy(F.desc(F.arrays_overlap("words", known) & (F.xxhash64("k", "doc_id") % 2 == 0)), *order).limit(WINDOWS // 2)
+    )
+    table = chosen.select("y", F.array_join("words", " ").alias("text")).toArrow().sort_by([("y", "ascending"), ("text", "ascending")]).combine_chunks()
+    text = table["text"].chunk(0) if table.num_rows else pa.array([], pa.string())
+    lists = pc.split_pattern(text, " ")
+    toxic = np.repeat(np.asarray(table["y"]), np.diff(offsets_of(lists)))
+    tagged = np.asarray(pc.is_in(lists.flatten(), value_set=pa.array(lexicon, pa.string()))).astype(np.int64) * toxic
+    field = fit_field(lists, tagged)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
