@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -156,8 +157,6 @@ def reverse_patch(files: DataFrame, reach: int = 200) -> DataFrame:
     Hunks are undone from the last; one is looked for at its place, then up to `reach` lines around. Null if one
     isn't found.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def undo(after: pd.Series, hunks: pd.Series) -> pd.Series:
         out = []

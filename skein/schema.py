@@ -1,15 +1,13 @@
-"""Column types of the tables that operators take and return."""
+"""Column types of the tables that operators take and return, as DDL."""
 
-from pyspark.sql import types as T
+NODE_KINDS = "module", "function", "block", "statement", "call", "assign", "variable", "parameter", "source", "sink", "gate"
+EDGE_KINDS = "control", "data", "call", "taint", "trust", "auth"
 
-NODE_KINDS = ("module", "function", "block", "statement", "call", "assign", "variable", "parameter", "source", "sink", "gate")
-EDGE_KINDS = ("control", "data", "call", "taint", "trust", "auth")
-
-NODES = T.StructType.fromDDL("graph_id string, pos long, id string, kind string, label string, file string, line int, end_line int, attrs map<string,string>")
-EDGES = T.StructType.fromDDL("graph_id string, pos long, src string, dst string, kind string, weight double, cost double, relation string, attrs map<string,string>")
+NODES = "graph_id string, pos long, id string, kind string, label string, file string, line int, end_line int, attrs map<string,string>"
+EDGES = "graph_id string, pos long, src string, dst string, kind string, weight double, cost double, relation string, attrs map<string,string>"
 #: A graph as one JSON document.
-GRAPH_JSON = T.StructType.fromDDL(
+GRAPH_JSON = (
     "meta map<string,string>, nodes array<struct<id:string,kind:string,label:string,file:string,line:int,end_line:int,attrs:map<string,string>>>, "
     "edges array<struct<src:string,dst:string,kind:string,attrs:map<string,string>>>"
 )
-FINDINGS = T.StructType.fromDDL("graph_id string, file string, line int, category string, sink string, severity string, score double, source_names array<string>, path array<string>, auth_gates array<string>")
+FINDINGS = "graph_id string, file string, line int, category string, sink string, severity string, score double, source_names array<string>, path array<string>, auth_gates array<string>"
