@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text that one step of a task works on at once, in bytes; a longer document is a step of its own.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
