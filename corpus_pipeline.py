@@ -1,7 +1,8 @@
 """A training corpus from documents: STAGES in order, each written as Parquet and read again.
 
 Every stage works on all rows that the one before it kept. Null texts and texts without letters go at the first
-stage; rows without an id stay until packing, as nothing is known to equal them.
+stage; rows without an id stay until packing, as nothing is known to equal them. Extra columns of documents, whatever
+their names, pass through the stages unchanged and end at packing.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import exact_dedup, langid, near_join, packing, quality
 from skein.llm.queries import table, tokenizer
-from skein.llm.shared import saved
+from skein.llm.shared import free_name, saved
 
 #: Documents are rejected below this share of letters in spans of their main language.
 LEAST_SHARE = 0.2
@@ -28,14 +29,16 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language; one that no language has a fair share of goes."""
-    found = langid.predict(docs, langid.train(docs), lang="__lang", score="__score")
-    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__score") >= LEAST_SHARE)).select(docs.columns)
+    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
+    found = langid.predict(docs, langid.train(docs), lang=lang, score=score)
+    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SHARE)).select(docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the quality model predicts 1 for."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="__score").where(F.col("__score") >= quality.THRESHOLD).select(docs.columns)
+    score = free_name(docs, "score")
+    return quality.score(docs, model, out=score).where(F.col(score) >= quality.THRESHOLD).select(docs.columns)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,9 +90,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         yield batch.slice(a, b - a)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with underscores before it until df has no such column in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def with_columns(df: DataFrame, **kinds: str) -> T.StructType:
-    """The schema of df with columns of these types after its own; a name that df has already is an error."""
-    if taken := sorted({*kinds} & {*df.columns}):
+    """The schema of df with columns of these types after its own; a name that df has already, in any case, is an error."""
+    if taken := sorted(k for k in kinds if free_name(df, k) != k):
         raise ValueError(f"there are columns named {', '.join(taken)}: pass other names")
     return T.StructType([*df.schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in kinds.items())])
 

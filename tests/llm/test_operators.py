@@ -339,6 +339,19 @@ def test_pipeline_against_brute_force(spark):
     assert pipeline.run(spark, d).count() == at.count()
 
 
+def test_stages_keep_clashing_columns(spark):
+    import corpus_pipeline as pipeline
+
+    docs, _ = trained(spark)
+    docs = docs.select("doc_id", "text", "lang").withColumns({c: F.lit(7) for c in ("lang_pred", "Lang_Score", "_lang_score", "id", "kept", "sha")})
+    for stage in (pipeline.language_id, pipeline.exact_duplicates, pipeline.near_duplicates):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and {r["Lang_Score"] for r in out.collect()} == {7}
+    assert shared.free_name(docs, "KEPT") == "_KEPT" and shared.free_name(docs, "lang_score") == "__lang_score"
+    scored = quality.score(docs.withColumn("Score", F.lit(7)), quality.train(docs, trained(spark)[1]), out=shared.free_name(docs.withColumn("Score", F.lit(7)), "score"))
+    assert scored.columns[-2:] == ["Score", "_score"] and scored.count() == docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracles(spark, name):
     con = duckdb.connect()
