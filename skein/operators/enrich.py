@@ -88,6 +88,38 @@ def enrich_findings(findings: DataFrame, names: DataFrame, intelligence: DataFra
     return findings.join(agg, "id", "left").fillna(False, ["in_kev"]).fillna(0.0, ["epss"])
 
 
+def first_hint(texts: DataFrame, hints: DataFrame, most_hints: int = 10_000) -> DataFrame:
+    """texts(id, text) with the hint of the first of hints(pos, key, hint) whose key the text contains, whatever the
+    case, else null. hints is a small table; its size is checked before every task gets it."""
+    n = hints.count()
+    if n > most_hints:
+        raise ValueError(f"{n} hints are more than the {most_hints} that a task can scan")
+    keys = F.broadcast(hints.where(F.length("key") > 0).agg(F.array_sort(F.collect_list(F.struct("pos", F.lower("key").alias("key"), "hint"))).alias("known")))
+    text = F.lower(F.coalesce("text", F.lit("")))
+    return texts.join(keys).withColumn("hint", F.get(F.filter("known", lambda k: text.contains(k["key"])), F.lit(0))["hint"]).drop("known")
+
+
+def hint_ids(hints: DataFrame, products: DataFrame, intelligence: DataFrame, pattern: str = r"(?i)CVE-\d{4}-\d+", most_products: int = 10_000) -> DataFrame:
+    """hints(id, service, version, hypothesis, ...) with cves, in_kev and epss.
+
+    Ids come from the text itself and from products(product, cve) that the text names; intelligence(cve, in_kev,
+    epss) tells about them. Rows without any have an empty list. products' distinct names are a checked, small table.
+    """
+    names = products.where(F.length("product") > 0).select(F.lower("product").alias("product"), "cve").distinct()
+    n = names.select("product").distinct().count()
+    if n > most_products:
+        raise ValueError(f"{n} products are more than the {most_products} that a task can scan")
+    text = F.concat_ws(" ", "version", "hypothesis", "service")
+    rows = hints.select("id", text.alias("text"))
+    written = rows.select("id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("cve")).withColumn("cve", F.upper("cve"))
+    known = F.broadcast(names.agg(F.array_sort(F.collect_set("product")).alias("known")))
+    named = rows.join(known).select("id", F.explode(F.filter("known", lambda p: F.lower(F.col("text")).contains(p))).alias("product")).join(names, "product").select("id", "cve")
+    found = written.unionByName(named).distinct().join(intelligence, "cve", "left")
+    agg = found.groupBy("id").agg(F.array_sort(F.collect_set("cve")).alias("cves"), F.bool_or(F.coalesce("in_kev", F.lit(False))).alias("in_kev"), F.max(F.coalesce("epss", F.lit(0.0))).alias("epss"))
+    out = hints.join(agg, "id", "left").withColumn("cves", F.coalesce("cves", F.array().cast("array<string>")))
+    return out.fillna(False, ["in_kev"]).fillna(0.0, ["epss"])
+
+
 def with_category(rows: DataFrame, categories: DataFrame, fallback: str = "generic") -> DataFrame:
     """rows(category, ...) with the attributes of categories(name, aliases, ...), by name or alias, else the fallback's."""
     alias = categories.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("category"))

@@ -29,6 +29,17 @@ def confusion(rows: DataFrame, by: list[str] | None = None, empty: float = 1.0,
     return out.withColumn("f1", _share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0))
 
 
+def confusion_by_prefix(rows: DataFrame, name: str = "name", mark: str = "_", empty: float = 1.0) -> DataFrame:
+    """confusion() by the part of a name before the first mark, with a row over all."""
+    return confusion(rows.withColumn("prefix", F.split_part(name, F.lit(mark), F.lit(1))), ["prefix"], empty, with_total=True)
+
+
+def ablation(rows: DataFrame, variants: dict[str, Column], empty: float = 0.0) -> DataFrame:
+    """confusion() of rows(truth) for each variant of the rule that flags them: (variant, tp, ...), in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("flagged")) for k, v in variants.items()]))
+    return confusion(rows.select("truth", each.alias("v")).select("truth", "v.variant", "v.flagged"), ["variant"], empty)
+
+
 def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
     """rows(case_id, ...) with `rank` in each case."""
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("case_id").orderBy(*order)))
