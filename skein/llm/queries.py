@@ -77,6 +77,10 @@ QUERIES = {
     for f in (op1_sentencepiece, op2_quality, op3_embedding_dedup, op4_packing, op5_html_text, op6_language, op7_warc, op8_near_join, op9_toxicity, op10_exact_dedup, pipeline)
 }
 
+#: Characters that text is split at, and those that words lose at their ends.
+WHITE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+ENDS = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in near_join.PUNCTUATION) + "]+"
+
 ORACLE_SQL = {
     "op3_embedding_dedup": """
 WITH RECURSIVE v AS (
@@ -110,6 +114,31 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(h) AS paylo
   CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 1000 AND page_id < newest THEN newest END AS refers_to
 FROM g
+""",
+    "op8_near_join": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '{WHITE}'), lambda x: regexp_replace(lower(x), '^{ENDS}|{ENDS}$', '', 'g')), lambda x: x <> '') AS words FROM documents
+),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(words) - 3, 2)), lambda i: md5(array_to_string(words[i:i + 4], ' '))))) AS shingles FROM w WHERE len(words) > 0
+),
+classes AS (SELECT min(doc_id) AS rep, count(*) AS size, shingles, len(shingles) AS n FROM sets GROUP BY shingles),
+flat AS (SELECT rep, n, unnest(shingles) AS shingle FROM classes),
+links AS (
+  SELECT a.rep AS src, b.rep AS dst FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) >= {near_join.SIMILARITY} * (a.n + b.n - count(*)) - 1e-9
+),
+reach AS (
+  SELECT rep AS id, rep AS reached FROM classes
+  UNION
+  SELECT reach.id, links.dst FROM reach JOIN links ON links.src = reach.reached
+),
+found AS (SELECT id, min(reached) AS component FROM reach GROUP BY id),
+n AS (SELECT src, sum(size) AS links FROM links JOIN classes ON rep = dst GROUP BY src),
+member AS (SELECT doc_id, rep, size FROM sets JOIN classes USING (shingles))
+SELECT d.doc_id, coalesce(m.rep, d.doc_id) AS class_id, CAST(coalesce(m.size - 1, 0) + coalesce(n.links, 0) AS BIGINT) AS n_links,
+  coalesce(found.component, d.doc_id) AS component_id, d.doc_id = coalesce(found.component, d.doc_id) AS kept
+FROM documents d LEFT JOIN member m USING (doc_id) LEFT JOIN found ON found.id = m.rep LEFT JOIN n ON n.src = m.rep
 """,
     "op10_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
