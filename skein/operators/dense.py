@@ -7,7 +7,7 @@ by side. A graph of more nodes than the cap fails the job: larger ones need the
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,15 +17,44 @@ CAP = 2000
 
 
 def per_graph(rows: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str, cap: int = CAP, ends: tuple[str, str] = ("src", "dst")) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of kernel(graph) for each graph_id.
+
+    The rows are sorted by graph within their partitions, so that a batch holds many small graphs; only the last
+    one of a batch waits for the next. A graph of more than cap nodes is an error.
+    """
+
+    def one(graph_id: str, pdf: pd.DataFrame) -> pd.DataFrame:
         n = len(set(pdf[ends[0]]) | set(pdf[ends[1]]))
         if n > cap:
-            raise ValueError(f"graph {pdf['graph_id'].iloc[0]} has {n} nodes, more than {cap}")
-        out = kernel(pdf)
-        out.insert(0, "graph_id", pdf["graph_id"].iloc[0])
+            raise ValueError(f"graph {graph_id} has {n} nodes, more than {cap}")
+        out = kernel(pdf.reset_index(drop=True))
+        out.insert(0, "graph_id", graph_id)
         return out
 
-    return rows.groupBy("graph_id").applyInPandas(run, f"graph_id string, {schema}")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids = batch["graph_id"].to_numpy()
+            cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+            if held and held[-1]["graph_id"].iloc[-1] != ids[0]:
+                yield one(held[0]["graph_id"].iloc[0], pd.concat(held))
+                held = []
+            if not len(cuts):
+                held.append(batch)
+                continue
+            out = [one(ids[0], pd.concat([*held, batch.iloc[: cuts[0]]]))]
+            out += [one(ids[i], batch.iloc[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            held = [batch.iloc[cuts[-1] :]]
+            if out := [x for x in out if len(x)]:
+                yield pd.concat(out)
+        if held:
+            yield one(held[0]["graph_id"].iloc[0], pd.concat(held))
+
+    # A given number of partitions stays as it is: rows of small graphs are few bytes but much work.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "graph_id").sortWithinPartitions("graph_id").mapInPandas(run, f"graph_id string, {schema}")
 
 
 def _index(pdf: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray]:

@@ -29,6 +29,10 @@ trade AS (
   SELECT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS pos, l_quantity AS weight, l_discount * 100 + 1 AS cost
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
 )"""
+USER_GRAPH_SQL = """
+t AS (SELECT CAST(user_id AS VARCHAR) || ':' || CAST(ts AS DATE) AS graph_id, event_type AS src, lead(event_type) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS dst FROM events),
+u AS (SELECT DISTINCT graph_id, least(src, dst) AS a, greatest(src, dst) AS b FROM t WHERE src <> dst),
+ways AS (SELECT graph_id, a AS x, b AS y FROM u UNION ALL SELECT graph_id, b, a FROM u)"""
 
 
 def _key(letter: str, column: str) -> F.Column:
@@ -73,6 +77,14 @@ def user_graphs(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("weight", F.col("cost"))
 
 
+def day_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """A graph of event types for each user's day: distinct edges."""
+    day = F.to_date("ts")
+    after = F.lead("event_type").over(W.partitionBy("user_id", day).orderBy("ts", "event_id"))
+    rows = table(spark, d, "events").select(F.concat_ws(":", "user_id", day).alias("graph_id"), F.col("event_type").alias("src"), after.alias("dst"))
+    return rows.where("dst IS NOT NULL").distinct()
+
+
 # --- queries -----------------------------------------------------------------------------------------------------
 
 
@@ -181,12 +193,14 @@ def cheapest_path_cost(spark, d):
 
 
 def ollivier_curvature(spark, d):
-    return geometry.ollivier_ricci(PropertyGraph.of_edges(transitions(spark, d).select(F.concat(F.lit("u"), (F.col("user_id") % 50).cast("string")).alias("src"), "dst")).undirected().select("a", "b"), reg=0.05, iterations=50).select("a", "b", F.round("curvature", 6).alias("curvature"))
+    return geometry.ollivier_ricci(PropertyGraph.of_edges(transitions(spark, d).select(F.concat_ws(":", "user_id", "src").alias("src"), F.concat_ws(":", "user_id", "dst").alias("dst"))).undirected().select("a", "b"), reg=0.05, iterations=50).select("a", "b", F.round("curvature", 6).alias("curvature"))
 
 
 def mapper_nerve(spark, d):
     e = supply(spark, d)
-    values = table(spark, d, "part").select(_key("p", "p_partkey").alias("id"), F.col("p_retailprice").alias("f"))
+    price = table(spark, d, "part").select(_key("p", "p_partkey").alias("id"), F.col("p_retailprice").alias("f"))
+    mean = e.join(price.withColumnRenamed("id", "a"), "a").groupBy(F.col("b").alias("id")).agg(F.round(F.avg("f"), 2).alias("f"))
+    values = price.unionByName(mean)
     _, nerve = topology.mapper(values, e)
     return nerve
 
@@ -196,11 +210,11 @@ def user_graph_homology(spark, d):
 
 
 def user_graph_cuts(spark, d):
-    return dense.articulation_points(user_graphs(spark, d))
+    return dense.articulation_points(day_graphs(spark, d))
 
 
 def user_graph_bridges(spark, d):
-    return dense.bridges(user_graphs(spark, d))
+    return dense.bridges(day_graphs(spark, d))
 
 
 def user_graph_fiedler(spark, d):
@@ -277,9 +291,8 @@ def mean_intervals(spark, d):
 
 
 def run_agreement(spark, d):
-    rows = quality_rows(spark, d)
-    left = rows.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("key"), F.col("truth").alias("label"))
-    right = rows.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("key"), F.col("flagged").alias("label"))
+    left = table(spark, d, "labels").select(F.col("doc_id").alias("key"), (F.col("quality") == 1).alias("label"))
+    right = table(spark, d, "documents").select(F.col("doc_id").alias("key"), (F.col("n_chars") > 1500).alias("label"))
     out = metrics.run_agreement(left, right)
     return out.withColumn("label_change_rate", F.round("label_change_rate", 6))
 
@@ -315,7 +328,7 @@ def shadow_anti_join(spark, d):
 
 def diff_set_ops(spark, d):
     e = table(spark, d, "events")
-    return enrich.diff(e.where("event_id % 2 = 0").select("user_id", "event_type"), e.where("event_id % 2 = 1").select("user_id", "event_type"), ["user_id", "event_type"])
+    return enrich.diff(e.where("hour(ts) < 12").select("user_id", "event_type"), e.where("hour(ts) >= 12").select("user_id", "event_type"), ["user_id", "event_type"])
 
 
 def part_vectors(spark, d) -> DataFrame:
@@ -365,8 +378,9 @@ def joined_tags(spark, d):
 
 
 def taint_environments(spark, d):
+    """A user's day as a function: its events in order assign, mutate and clear five variables."""
     op = F.element_at(F.create_map(*[F.lit(x) for x in ("view", "source", "click", "assign", "purchase", "mutate", "error", "sanitise", "signup", "assign")]), F.col("event_type"))
-    e = table(spark, d, "events").where("event_id % 3 = 0").select(F.col("user_id").alias("fn"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string")).alias("target"), F.array(F.concat(F.lit("v"), (F.floor(F.col("event_id") / 5) % 5).cast("string"))).alias("inputs"), F.array("event_type").alias("tags"))
+    e = table(spark, d, "events").select(F.concat_ws(":", "user_id", F.to_date("ts")).alias("fn"), F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string")).alias("target"), F.array(F.concat(F.lit("v"), (F.floor(F.col("event_id") / 5) % 5).cast("string"))).alias("inputs"), F.array("event_type").alias("tags"))
     return taint.taint_environment(e).select("fn", F.explode("env").alias("variable", "tags")).select("fn", "variable", F.array_join("tags", ",").alias("tags"))
 
 
@@ -473,6 +487,30 @@ SELECT count(*) AS n_nodes, (SELECT count(*) FROM u) AS n_edges, count(DISTINCT
     "components": f"WITH RECURSIVE {COMMERCE_SQL}, {REACH_SQL.format(t='commerce')} SELECT id, component FROM comp",
     "reachability": f"WITH RECURSIVE {COMMERCE_SQL}, x AS (SELECT 'c' || c_custkey AS id FROM customer WHERE c_acctbal < 0 UNION SELECT dst FROM x JOIN commerce ON src = x.id) SELECT id FROM x",
     "reaching_region": f"WITH RECURSIVE {COMMERCE_SQL}, x AS (SELECT 'r0' AS id UNION SELECT src FROM x JOIN commerce ON dst = x.id) SELECT id FROM x",
+    "strong_components": """WITH RECURSIVE t AS (SELECT user_id || ':' || event_type AS src, lead(user_id || ':' || event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events),
+e AS (SELECT DISTINCT src, dst FROM t WHERE dst IS NOT NULL), reach AS (SELECT src AS id, dst AS spot FROM e UNION SELECT reach.id, e.dst FROM reach JOIN e ON e.src = reach.spot)
+SELECT id, id IN (SELECT id FROM reach WHERE id = spot) AS in_cycle FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)""",
+    "user_graph_bridges": f"""WITH RECURSIVE {USER_GRAPH_SQL},
+walk AS (SELECT graph_id, a, b, a AS spot FROM u UNION
+  SELECT w.graph_id, w.a, w.b, y FROM walk w JOIN ways USING (graph_id) WHERE x = w.spot AND NOT (x = w.a AND y = w.b) AND NOT (x = w.b AND y = w.a))
+SELECT graph_id, a, b FROM u WHERE (graph_id, a, b, b) NOT IN (SELECT graph_id, a, b, spot FROM walk)""",
+    "user_graph_cuts": f"""WITH RECURSIVE {USER_GRAPH_SQL},
+ids AS (SELECT DISTINCT graph_id, x AS id FROM ways UNION SELECT graph_id, src FROM t WHERE dst IS NOT NULL UNION SELECT graph_id, dst FROM t WHERE dst IS NOT NULL),
+gone AS (SELECT graph_id, id FROM ids UNION ALL SELECT DISTINCT graph_id, '' FROM ids),
+walk AS (SELECT gone.graph_id, gone.id AS gone, ids.id AS start, ids.id AS spot FROM gone JOIN ids USING (graph_id) WHERE gone.id <> ids.id UNION
+  SELECT w.graph_id, w.gone, w.start, y FROM walk w JOIN ways USING (graph_id) WHERE x = w.spot AND y <> w.gone),
+parts AS (SELECT graph_id, gone, count(DISTINCT least_at) AS n FROM (SELECT graph_id, gone, start, min(spot) AS least_at FROM walk GROUP BY ALL) GROUP BY ALL)
+SELECT p.graph_id, p.gone AS id, CAST(p.n - q.n AS INTEGER) AS added FROM parts p JOIN parts q USING (graph_id) WHERE q.gone = '' AND p.gone <> '' AND p.n > q.n""",
+    "mapper_nerve": """WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), price AS (SELECT 'p' || p_partkey AS id, p_retailprice AS f FROM part),
+v AS (SELECT * FROM price UNION ALL SELECT b, round(avg(f), 2) FROM e JOIN price ON id = a GROUP BY b), r AS (SELECT min(f) AS lo, max(f) AS hi FROM v),
+inside AS (SELECT k, k || '|' || id AS key, id FROM v, r, range(8) AS i(k) WHERE f BETWEEN lo + k * ((hi - lo) / 8) - (hi - lo) / 8 * 0.3::DOUBLE / 2 AND lo + (k + 1) * ((hi - lo) / 8) + (hi - lo) / 8 * 0.3::DOUBLE / 2),
+es AS (SELECT x.key AS p, y.key AS s FROM e JOIN inside x ON x.id = a JOIN inside y ON y.id = b AND y.k = x.k),
+links AS (SELECT DISTINCT x.s AS x, y.s AS y FROM es x JOIN es y USING (p)),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+low AS (SELECT x AS s, least(min(y), min(p)) AS cluster FROM reach JOIN es ON es.s = reach.y GROUP BY x),
+labels AS (SELECT s AS key, cluster FROM low UNION SELECT p, cluster FROM es JOIN low USING (s)),
+clusters AS (SELECT id, coalesce(cluster, key) AS cluster FROM inside LEFT JOIN labels USING (key))
+SELECT DISTINCT a.cluster AS a, b.cluster AS b FROM clusters a JOIN clusters b USING (id) WHERE a.cluster < b.cluster""",
     "hop_distance": f"""WITH RECURSIVE {COMMERCE_SQL}, both_ways AS (SELECT src, dst FROM commerce UNION SELECT dst, src FROM commerce),
 x AS (SELECT s AS source, s AS id, 0 AS hops FROM (VALUES ('r0'), ('n1')) t(s) UNION SELECT source, dst, hops + 1 FROM x JOIN both_ways ON src = x.id WHERE hops < 8)
 SELECT source, id, CAST(min(hops) AS INTEGER) AS hops FROM x GROUP BY source, id""",
@@ -502,7 +540,7 @@ FROM o""",
 s AS (SELECT lang, sum(quality)::DOUBLE AS p, (count(*) - sum(quality))::DOUBLE AS n, sum(CASE WHEN quality = 1 THEN mid ELSE 0 END) AS m FROM r GROUP BY lang)
 SELECT lang, round(CASE WHEN p > 0 AND n > 0 THEN (m - p * (p + 1) / 2) / (p * n) ELSE 0.5 END, 6) AS auc FROM s""",
     "mean_intervals": "SELECT lang, count(n_chars) AS n, round(avg(n_chars), 4) AS mean, round(coalesce(1.96 * stddev_pop(n_chars) / sqrt(count(n_chars)), 0.0), 4) AS half_width FROM documents GROUP BY lang",
-    "run_agreement": f"""WITH {QUALITY_SQL}, a AS (SELECT doc_id AS k, truth AS l FROM q WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS k, flagged AS l FROM q WHERE doc_id % 5 <> 0)
+    "run_agreement": """WITH a AS (SELECT doc_id AS k, quality = 1 AS l FROM labels), b AS (SELECT doc_id AS k, n_chars > 1500 AS l FROM documents)
 SELECT count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL) AS shared, count(*) FILTER (b.k IS NULL) AS only_left, count(*) FILTER (a.k IS NULL) AS only_right,
   count(*) FILTER (a.k IS NULL OR b.k IS NULL) = 0 AS same_keys, round(coalesce(count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL AND a.l IS DISTINCT FROM b.l) / nullif(count(*) FILTER (a.k IS NOT NULL AND b.k IS NOT NULL), 0), 0.0), 6) AS label_change_rate
 FROM a FULL JOIN b ON a.k = b.k""",
@@ -511,7 +549,7 @@ FROM a FULL JOIN b ON a.k = b.k""",
 SELECT id, round(0.5 * balance / max(balance) OVER () + 0.3 * orders / max(orders) OVER () + 0.2 * largest / max(largest) OVER (), 6) AS score FROM s ORDER BY score DESC, id LIMIT 12""",
     "shadow_anti_join": r"""WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(html, 'href="(/[^"?#]*)', 1)) AS path FROM pages), k AS (SELECT regexp_replace(url, '^[a-z]+://[^/]*', '') AS path FROM pages)
 SELECT path FROM f WHERE NOT EXISTS (SELECT 1 FROM k WHERE starts_with(k.path, f.path))""",
-    "diff_set_ops": """WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 1)
+    "diff_set_ops": """WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE hour(ts) < 12), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE hour(ts) >= 12)
 SELECT user_id, event_type, 'resolved' AS state FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT user_id, event_type, 'introduced' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
 UNION ALL SELECT user_id, event_type, 'persisting' FROM (SELECT * FROM a INTERSECT SELECT * FROM b)""",
     "cvss31_scores": f"""WITH m AS (SELECT p_partkey, {_pick("NALP", "p_partkey")} AS av, {_pick("LH", "p_partkey // 4")} AS ac, {_pick("NLH", "p_partkey // 8")} AS pr, {_pick("NR", "p_partkey // 3")} AS ui,

@@ -21,7 +21,7 @@ def test_nothing_else_imports_llm():
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["edge_kind_counts", "forman_curvature_top", "components", "cost_curve", "auc_midrank", "cvss31_scores", "average_precision_pool"])
+@pytest.mark.parametrize("name", ["strong_components", "user_graph_bridges", "user_graph_cuts", "run_agreement", "diff_set_ops", "edge_kind_counts", "forman_curvature_top", "components", "cost_curve", "auc_midrank", "cvss31_scores", "average_precision_pool"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
