@@ -213,3 +213,16 @@ def test_cap_raises(spark):
 def test_undirected_keeps_no_order_of_frame(spark):
     g = graph(spark, TRIANGLE_TAIL)
     assert g.neighbours().where(F.col("id") == "c").first()["out_degree"] == 2
+
+
+def test_small_graphs_across_batches(spark):
+    rows = [(f"g{g}", f"n{i}", f"n{i + 1}") for g in range(7) for i in range(g)]
+    edges = spark.createDataFrame(rows, "graph_id string, src string, dst string")
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (1, 2, 3, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(map(tuple, dense.bridges(edges).collect())) == sorted(rows)
+        assert dense.bridges(edges.where("false")).collect() == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
