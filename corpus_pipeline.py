@@ -1,7 +1,7 @@
 """A training corpus from documents: STAGES in order, each written as Parquet and read again.
 
-Every stage works on all rows that the one before it kept. Null texts and texts without letters go at the first
-stage; rows without an id stay until packing, as nothing is known to equal them. Extra columns of documents, whatever
+Every stage works on all rows that the one before it kept. Null texts, texts without letters and texts in
+no language that was learned go at the first stage; rows without an id stay until packing, as nothing is known to equal them. Extra columns of documents, whatever
 their names, pass through the stages unchanged and end at packing.
 """
 
@@ -14,8 +14,6 @@ from skein.llm import exact_dedup, langid, near_join, packing, quality
 from skein.llm.queries import table, tokenizer
 from skein.llm.shared import free_name, saved
 
-#: Documents are rejected below this share of letters in spans of their main language.
-LEAST_SHARE = 0.2
 #: Ids that an anti join broadcasts at most: eight bytes each.
 BROADCAST_ROWS = 500_000
 
@@ -28,10 +26,10 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language; one that no language has a fair share of goes."""
+    """Keeps documents with a language: foreign scripts, languages that were not learned and noise go, mixed text stays."""
     lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
     found = langid.predict(docs, langid.train(docs), lang=lang, score=score)
-    return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= LEAST_SHARE)).select(docs.columns)
+    return found.where(F.col(lang) != langid.UNKNOWN).select(docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

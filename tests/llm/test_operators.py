@@ -249,6 +249,26 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs.where("doc_id < 0").union(docs.where("doc_id = 240"))).collect()} == {"und"}
 
 
+def test_language_stage_rejects_what_was_not_learned(spark):
+    import corpus_pipeline as pipeline
+
+    d = "/root/testdata/sf0.001"
+    docs = queries.table(spark, d, "documents")
+    by = {}
+    for r in docs.where("n_chars > 400").orderBy("doc_id").collect():
+        by.setdefault(r.lang, r.text[:400])
+    random = np.random.default_rng(1)
+    noise = " ".join("".join(random.choice(list("abcdefghijklmnopqrstuvwxyz"), random.integers(3, 9))) for _ in range(40))
+    finnish = "vaka vanha väinämöinen itse tuon sanoiksi virkkoi näistäpä toki tulisi kalanluinen kanteloinen kun oisi osoajata soiton luisen laatijata kun ei toista tullutkana"
+    polish = "litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił dziś piękność twą w całej ozdobie widzę i opisuję bo tęsknię po tobie"
+    russian = "я помню чудное мгновенье передо мной явилась ты как мимолётное виденье как гений чистой красоты"
+    bad = [noise, finnish, polish, russian, "日本語 テキスト", f"{by['en'][:40]} {russian}"]
+    good = [*by.values(), " ".join(by.values()), f"{by['en']} 日本語 q7Xz9kQw2vB8nM4tJ6hF3gD5sR1pLzXcVbNm"]
+    planted = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(bad + good)], docs.schema)
+    kept = {r.doc_id for r in pipeline.language_id(spark, docs.unionByName(planted), d).collect()}
+    assert len(by) == 4 and kept == {r.doc_id for r in docs.collect()} | {10**9 + i for i in range(len(bad), len(bad) + len(good))}
+
+
 def test_viterbi_brute():
     random = np.random.default_rng(4)
     for n in (1, 2, 7):
