@@ -95,18 +95,48 @@ def hitting_rank(probabilities: DataFrame, sources: DataFrame) -> DataFrame:
     return probabilities.join(sources.select("id").distinct(), "id", "left_semi").where("probability > 0").orderBy(F.desc("probability"), "id")
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, most_edges: int = 5_000_000) -> DataFrame:
+def _betweenness_joins(pairs: DataFrame, block_rows: int) -> DataFrame:
+    """(id, score): Brandes by joins for a block of sources at a time; a level is rows (source, id, paths)."""
+    pairs = cut(pairs)
+    n = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct().count()
+    sources = pairs.select(F.col("src").alias("source")).distinct()
+    blocks = -(-sources.count() * n // max(1, block_rows))
+    sources = cut(sources.withColumn("block", F.pmod(F.xxhash64("source"), F.lit(max(1, blocks)))))
+    total = None
+    for block in range(blocks):
+        level = cut(sources.where(F.col("block") == block).select("source", F.col("source").alias("id"), F.lit(1.0).alias("paths")))
+        levels, seen = [], level.select("source", "id")
+        while not level.isEmpty():
+            levels.append(level)
+            met = level.withColumnRenamed("id", "src").join(pairs, "src").groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+            level = cut(met.join(seen, ["source", "id"], "left_anti"))
+            seen = cut(seen.unionByName(level.select("source", "id")))
+        below = None
+        for level in reversed(levels[1:]):
+            delta = level.withColumn("delta", F.lit(0.0))
+            if below is not None:
+                share = below.select("source", F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("paths")).alias("share"))
+                back = share.join(pairs, "dst").groupBy("source", F.col("src").alias("id")).agg(F.sum("share").alias("share"))
+                delta = level.join(back, ["source", "id"], "left").select("source", "id", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("delta"))
+            below = cut(delta)
+            part = below.groupBy("id").agg(F.sum("delta").alias("score"))
+            total = cut(part if total is None else total.unionByName(part).groupBy("id").agg(F.sum("score").alias("score")))
+    return total if total is not None else pairs.select(F.col("src").alias("id"), F.lit(0.0).alias("score")).limit(0)
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, most_edges: int = 5_000_000, block_rows: int = 50_000_000) -> DataFrame:
     """(id, score): Brandes, directed, unnormalised, ends excluded; sources are dealt to tasks.
 
-    The edge list goes to every task as arrays, so its length is checked first: over most_edges is an error.
+    Up to most_edges the edge list goes to every task as arrays; a longer one stays in tables, and levels of paths are
+    joined with it for so many sources at a time that a block has about block_rows (source, id).
     """
     import numpy as np
     import pandas as pd
 
     pairs = edges.where("src <> dst").select("src", "dst").distinct()
-    n_edges = pairs.count()
-    if n_edges > most_edges:
-        raise ValueError(f"{n_edges} edges are more than the {most_edges} that every task can hold")
+    if pairs.count() > most_edges:
+        total = _betweenness_joins(pairs, block_rows).select(F.col("id").cast("string").alias("id"), "score")
+        return nodes.select(F.col("id").cast("string").alias("id")).distinct().join(total, "id", "left").fillna(0.0, ["score"])
     frame = pairs.toPandas()
     codes, names = pd.factorize(np.concatenate([frame["src"], frame["dst"]]), sort=True)
     src, dst = codes[: len(frame)], codes[len(frame) :]

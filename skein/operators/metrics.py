@@ -124,32 +124,38 @@ def auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
 def paired_permutation(pairs: DataFrame, iterations: int = 20_000, resamples: int = 2000, seed: int = 7, block: int = 500) -> DataFrame:
     """(n, mean_diff, low, high, p): sign-flip test of pairs(a, b) with an add-one p and a bootstrap interval.
 
-    Each task draws replicates over the differences, which are collected once: more than a million are an error.
+    Differences are counted by value first. Each value draws the flips (binomial) and the bootstrap weights (Poisson) of
+    all its pairs for every replicate from a generator of its own, so nothing depends on how rows are dealt, and tasks
+    give one partial sum per replicate.
     """
     import numpy as np
     import pandas as pd
 
-    d = pairs.select((F.col("a") - F.col("b")).alias("d")).where("d IS NOT NULL")
-    n = d.count()
-    if n > 1_000_000:
-        raise ValueError(f"{n} pairs are more than a replicate can hold")
+    d = pairs.select((F.col("a") - F.col("b")).cast("double").alias("d")).where("d IS NOT NULL")
+    n, mean = d.agg(F.count("d"), F.avg("d")).first()
     spark = pairs.sparkSession
-    values = np.sort(d.toPandas()["d"].to_numpy(float))
     if not n:
         return spark.createDataFrame([(0, None, None, None, 1.0)], "n long, mean_diff double, low double, high double, p double")
-    shared = spark.sparkContext.broadcast(values)
-    mean = float(values.mean())
+    counts = d.groupBy("d").agg(F.count(F.lit(1)).alias("k"))
 
     def run(batches):
-        x = shared.value
+        signs, sums, weights = np.zeros(iterations), np.zeros(resamples), np.zeros(resamples)
         for batch in batches:
-            for i in batch["id"]:
-                random = np.random.default_rng([seed, int(i)])
-                signs = [float((x * (random.integers(0, 2, len(x)) * 2 - 1)).mean()) for _ in range(min(block, max(0, iterations - i * block)))]
-                boots = [float(x[random.integers(0, len(x), len(x))].mean()) for _ in range(min(block, max(0, resamples - i * block)))]
-                yield pd.DataFrame({"kind": ["s"] * len(signs) + ["b"] * len(boots), "v": signs + boots})
-
-    draws = spark.range(-(-max(iterations, resamples) // block)).mapInPandas(run, "kind string, v double")
+            for x, k in zip(batch["d"].to_numpy(float), batch["k"].to_numpy(), strict=True):
+                random = np.random.default_rng([seed, int(np.float64(x).view(np.uint64))])
+                signs += x * (2 * random.binomial(k, 0.5, iterations) - k)
+                drawn = random.poisson(k, resamples)
+                sums += x * drawn
+                weights += drawn
+        for kind, v, w in (("s", signs, np.full(iterations, 0.0)), ("b", sums, weights)):
+            for i in range(0, len(v), block):
+                part = slice(i, i + block)
+                yield pd.DataFrame({"kind": kind, "replicate": np.arange(len(v))[part], "v": v[part], "w": w[part]})
+
+    parts = counts.mapInPandas(run, "kind string, replicate long, v double, w double")
+    # A resample's weights differ in their sum; one without any row has no mean.
+    draws = parts.groupBy("kind", "replicate").agg(F.sum("v").alias("v"), F.sum("w").alias("w"))
+    draws = draws.select("kind", F.try_divide("v", F.when(F.col("kind") == "s", F.lit(float(n))).otherwise(F.col("w"))).alias("v"))
     extreme = F.count_if((F.col("kind") == "s") & (F.abs("v") >= abs(mean) - 1e-12))
     boots = F.when(F.col("kind") == "b", F.col("v"))
     return draws.agg(

@@ -26,7 +26,9 @@ def below(a: Column, b: Column) -> Column:
 
 
 def join_all(rows: DataFrame, by: list[str], column: str) -> DataFrame:
-    return rows.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(column)))).alias(column))
+    """The tags of each group; repeats go before a group's are collected. A group without tags has an empty list."""
+    each = rows.select(*by, F.explode_outer(F.transform(column, lambda t: F.struct(t.alias("tag")))).alias("each")).distinct()
+    return each.groupBy(*by).agg(F.array_sort(F.transform(F.collect_list("each"), lambda e: e["tag"])).alias(column))
 
 
 def join_branches(a: Column, b: Column) -> Column:

@@ -55,6 +55,23 @@ def test_permutation(spark):
     assert r.mean_diff == 0.5 and r.p < 0.05
 
 
+def test_permutation_of_many_pairs(spark):
+    pairs = spark.range(1_200_000).select((F.col("id") % 3).cast("double").alias("a"), F.lit(0.9).alias("b"))
+    r = metrics.paired_permutation(pairs, 300, 300).first()
+    assert r.n == 1_200_000 and r.mean_diff == pytest.approx(0.1) and r.p == pytest.approx(1 / 301)
+    assert r.high - r.low == pytest.approx(2 * 1.96 * (2 / 3 / 1_200_000) ** 0.5, rel=0.3)
+    few = spark.createDataFrame([(float(i), 2.0) for i in range(7)], "a double, b double")
+    one, other = (metrics.paired_permutation(few.repartition(k), 500, 100).first() for k in (1, 5))
+    assert [round(v, 9) for v in one] == [round(v, 9) for v in other]
+
+
+def test_join_all_drops_repeats_before_it_collects(spark):
+    rows = spark.createDataFrame([("f", ["b", "a"]), ("f", ["a", None]), ("g", []), ("h", None)], "fn string, tags array<string>")
+    out = taint.join_all(rows, ["fn"], "tags")
+    assert {r.fn: r.tags for r in out.collect()} == {"f": ["a", "b", None], "g": [], "h": []}
+    assert "Generate" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pooled_short_pool(spark):
     rows = spark.createDataFrame([(3.0, 1), (2.0, 0), (1.0, 1)], "s double, relevant long")
     r = metrics.pooled(rows, [F.desc("s")], at=(2, 10)).first()
