@@ -1,12 +1,15 @@
 """A training corpus from documents: STAGES in order, each written as Parquet and read again.
 
 Every stage works on all rows that the one before it kept. Null texts, texts without letters and texts in
-no language that was learned go at the first stage; rows without an id stay until packing, as nothing is known to equal them. Extra columns of documents, whatever
+no language that was learned go at the first stage; the duplicate stages keep exactly one row of each group,
+also where ids are null or repeated. Extra columns of documents, whatever
 their names, pass through the stages unchanged and end at packing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +21,19 @@ from skein.llm.shared import free_name, saved
 BROADCAST_ROWS = 500_000
 
 
-def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the ids of dropped, which is broadcast if it has few rows; null ids match nothing."""
-    dropped = saved(dropped.select("doc_id").distinct(), "dropped")
+def without(docs: DataFrame, duplicates: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """docs without the rows that duplicates(docs, id_col) doesn't keep; the list of them is broadcast if it is short.
+
+    Where ids are null or repeated, rows are numbered in the order of their ids, null last, and the numbers stand for them.
+    """
+    key, rows = "doc_id", docs
+    if not docs.groupBy("doc_id").count().where("doc_id IS NULL OR count > 1").isEmpty():
+        key, order = free_name(docs, "row"), F.col("doc_id").asc_nulls_last()
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = saved(docs.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn(key, F.monotonically_increasing_id()), "numbered")
+    dropped = saved(duplicates(rows, key).where("not kept").select(key).distinct(), "dropped")
     few = dropped.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(docs.columns)
+    return rows.join(F.broadcast(dropped) if few else dropped, key, "left_anti").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +52,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of equal texts."""
-    return without(docs, exact_dedup.exact_dedup(docs).where("not kept"))
+    return without(docs, exact_dedup.exact_dedup)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group that links of similarity 0.8 or more join."""
-    return without(docs, near_join.similarity_join(docs).where("not kept"))
+    return without(docs, near_join.similarity_join)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

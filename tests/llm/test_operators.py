@@ -359,6 +359,17 @@ def test_pipeline_against_brute_force(spark):
     assert pipeline.run(spark, d).count() == at.count()
 
 
+def test_duplicates_by_row(spark):
+    import corpus_pipeline as pipeline
+
+    kept = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()), key=str)
+    rows = [(3, "x"), (5, "x"), (5, "y"), (7, "z"), (7, "z"), (None, "y"), (None, "w"), (None, "w")]
+    assert kept(pipeline.exact_duplicates, rows) == [(3, "x"), (5, "y"), (7, "z"), (None, "w")]
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(3, a), (5, f"{a} end"), (5, b), (None, f"{b} end"), (None, "c d e f g"), (9, "q")]
+    assert kept(pipeline.near_duplicates, rows) == sorted([(3, a), (5, b), (9, "q"), (None, "c d e f g")], key=str)
+
+
 def test_stages_keep_clashing_columns(spark):
     import corpus_pipeline as pipeline
 
