@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import held_out, labelled_sample, slices, text_of, with_columns
+from .shared import held_out, in_training, labelled_sample, slices, text_of, with_columns
 
 THRESHOLD = 0.7
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -168,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Add
     y = np.asarray([r[0] for r in rows], dtype=float)
     if not len(y):
         return fit_additive(x, y)
-    # Classes count by their share of the labels, whatever the sample's is.
-    counts = {r["quality"]: r["count"] for r in labels.where(F.col("quality").isin(0, 1)).groupBy("quality").count().collect()}
+    # Classes count by their share of the training labels, whatever the sample's is.
+    counts = {r["quality"]: r["count"] for r in labels.where(F.col("quality").isin(0, 1) & in_training(F.col("doc_id"))).groupBy("quality").count().collect()}
     model = fit_additive(x, y)
     p, q = counts.get(1, 0) + 0.5, counts.get(0, 0) + 0.5
     model.base += float(np.log(p / q) - np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))

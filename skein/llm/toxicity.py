@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import code_points, distinct_words, held_out, labelled_sample, mixed, offsets_of, saved, slices, sums, text_of, with_columns
+from .shared import code_points, distinct_words, held_out, in_training, labelled_sample, mixed, offsets_of, saved, slices, sums, text_of, with_columns
 
 THRESHOLD = 0.3
 #: Labelled documents of each class, windows and seed words that the model is fitted on, at most.
@@ -254,7 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fie
     found = sorted((r["y"], r["x"]) for r in split_docs.select("y", F.array_join("words", " ").alias("text")).mapInArrow(measure, "y int, x array<double>").collect())
     y = np.asarray([r[0] for r in found], dtype=float)
     x = np.asarray([r[1] for r in found]).reshape(-1, 4)
-    share = {r["toxic"]: r["count"] for r in labels.where(F.col("toxic").isin(0, 1)).groupBy("toxic").count().collect()}
+    share = {r["toxic"]: r["count"] for r in labels.where(F.col("toxic").isin(0, 1) & in_training(F.col("doc_id"))).groupBy("toxic").count().collect()}
     weight = np.where(y == 1, share.get(1, 0) / max(1, y.sum()), share.get(0, 0) / max(1, len(y) - y.sum())) if len(y) else y
     field.document = fit_document(x, y, weight / max(1e-9, weight.mean()) if len(y) else weight, field.document)
     return field

@@ -300,6 +300,14 @@ def test_toxicity(spark):
     assert toxicity.classify(docs, labels.limit(0)).count() == 243
 
 
+def test_held_out_labels_change_no_score(spark):
+    docs, labels = trained(spark)
+    other = labels.withColumns({c: F.when(shared.held_out(F.col("doc_id")), 1).otherwise(F.col(c)) for c in ("quality", "toxic")})
+    assert quality.train(docs, labels).base == quality.train(docs, other).base
+    one, two = ({r.doc_id: r.score for r in toxicity.classify(docs, x).collect()} for x in (labels, other))
+    assert one == two
+
+
 def test_forward_backward_brute():
     random = np.random.default_rng(5)
     e, t, n = random.normal(size=6), random.normal(size=(2, 2)), 6
