@@ -9,8 +9,13 @@ side. Only the totals, one number for each partition, pass through the driver.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import os
+import re
+from array import array
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,33 +33,81 @@ SPACE = r"[\s\x0b\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 BESIDE = f" {SPACE}|{SPACE} |^ | $"
 
 
-@lru_cache(maxsize=2)
-def byte_pairs(path: str):
-    """The vocabulary and pattern of a byte-level BPE file of the tokenizers library, as ranks.
+#: A letter and a mark or digit after it: byte-level patterns always start a new piece between these two.
+BETWEEN = r"^(?s)(?P<head>.*?[A-Za-zÀ-ÖØ-öø-ɏ])(?P<tail>[!-@\[-`{-~].*)$"
+#: Distinct pieces of text whose ids a worker keeps from one slice to the next, at most; a hundred bytes each; then the older half goes.
+KEPT = 1_000_000
+#: Pieces that the library gets at once.
+JOINED = 400
 
-    Its ids number the merges in order, so merging by rank gives the ids that the library gives.
-    """
-    import tiktoken
+
+@dataclass
+class Library:
+    """A tokenizer file, the strings of its added tokens, whether texts may be cut at lone spaces, and ids known so far."""
+
+    encode: Callable[[list[str]], list]
+    added: str
+    cuts: bool
+    known: dict[str, bytes]
+
+
+@lru_cache(maxsize=2)
+def library(path: str) -> Library:
+    """The tokenizers library over a file; one thread, as Spark has a task for each core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tokenizers
 
     with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    shown = dict(zip(map(chr, plain), plain, strict=True))
-    shown |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    special = {x["content"] for x in spec["added_tokens"]}
-    ranks = {bytes(shown[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        text = f.read()
+    spec, made = json.loads(text), tokenizers.Tokenizer.from_str(text)
+    before = spec.get("pre_tokenizer") or {}
+    # A byte-level pattern starts a new piece at every space between two other characters.
+    cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec.get("normalizer") is None
+    added = "|".join(re.escape(x["content"]) for x in spec.get("added_tokens") or [])
+    return Library(lambda texts: [x.ids for x in made.encode_batch_fast(texts, add_special_tokens=False)], added, cuts, {})
+
+
+def encode_pieces(pieces: list[str], lib: Library) -> list[bytes]:
+    """The ids of each piece as bytes; pieces without white space but a space before them go to the library by the hundred.
+
+    A line feed between such pieces is a piece of its own with one id, at which the ids are cut again.
+    """
+    feed = lib.encode(["\n"])[0]
+    out: dict[int, bytes] = {}
+    plain = [i for i, w in enumerate(pieces) if len(feed) == 1 and w[w[:1] == " " :].split() == [w[w[:1] == " " :]]]
+    lines = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
+    for some, ids in zip(lines, lib.encode(["\n".join([pieces[i] for i in some]) for some in lines]), strict=True):
+        raw = np.asarray(ids, "<u4")
+        ends = (np.flatnonzero(raw == feed[0]) * 4).tolist()
+        raw = raw.tobytes()
+        out.update((i, raw[p:q]) for i, p, q in zip(some, [0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True))
+    rest = [i for i in range(len(pieces)) if i not in out]
+    out.update((i, array("I", ids).tobytes()) for i, ids in zip(rest, lib.encode([pieces[i] for i in rest]), strict=True))
+    return [out[i] for i in range(len(pieces))]
+
+
+def ids_of(pieces: list[str], lib: Library) -> list[bytes]:
+    """The ids of each distinct piece as bytes, from the library or as it gave them before."""
+    known = lib.known
+    new = [w for w in pieces if w not in known]
+    if len(known) + len(new) > KEPT:
+        for w in list(islice(known, len(known) // 2)):
+            del known[w]
+        new = [w for w in pieces if w not in known]
+    known.update(zip(new, encode_pieces(new, lib), strict=True))
+    return list(map(known.__getitem__, pieces))
 
 
 def tokenise(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and the offsets of the texts; special tokens' strings are ordinary text.
+    """Ids that the library gives all texts, one after another, and the offsets of the texts.
 
-    Where every space of a text stands alone, a word and the space before it are tokenised apart from the
-    others: each distinct one of a slice once.
+    Where every space of a text stands alone and no added token's string is in it, a word and the space before it
+    are tokenised apart from the others: each distinct one of a slice once. Other texts go to the library whole.
     """
-    encode = byte_pairs(path).encode_ordinary
-    odd = np.asarray(pc.match_substring_regex(text, BESIDE))
+    lib = library(path)
+    odd = np.asarray(pc.match_substring_regex(text, BESIDE)) if lib.cuts else np.ones(len(text), bool)
+    if lib.added:
+        odd = odd | np.fromiter((re.search(lib.added, x) is not None for x in text.to_pylist()), bool, len(text))
     size = np.zeros(len(text), np.int64)
     pieces: list[tuple[np.ndarray, np.ndarray]] = []
     if not odd.all():
@@ -63,24 +116,26 @@ def tokenise(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         offsets, words = offsets_of(lists), lists.flatten()
         head = np.zeros(len(words), bool)
         head[offsets[:-1]] = True
-        first, rest = words.filter(pa.array(head)).dictionary_encode(), words.filter(pa.array(~head)).dictionary_encode()
-        table = [encode(w) for w in first.dictionary.to_pylist()] + [encode(" " + w) for w in rest.dictionary.to_pylist()]
-        codes = np.empty(len(words), np.int64)
-        codes[head] = np.asarray(first.indices)
-        codes[~head] = np.asarray(rest.indices, dtype=np.int64) + len(first.dictionary)
-        lengths = np.fromiter(map(len, table), np.int64, len(table))
-        flat = np.fromiter((i for x in table for i in x), np.uint32, int(lengths.sum()))
+        spaced = pc.if_else(pa.array(head), words, pc.binary_join_element_wise(" ", words, "")).dictionary_encode()
+        cut = pc.extract_regex(spaced.dictionary, BETWEEN)
+        first = pc.coalesce(pc.struct_field(cut, "head"), spaced.dictionary).dictionary_encode()
+        rest = pc.fill_null(pc.struct_field(cut, "tail"), "").dictionary_encode()
+        table = ids_of([*first.dictionary.to_pylist(), *rest.dictionary.to_pylist()], lib)
+        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        flat = np.frombuffer(b"".join(table), "<u4")
+        two = np.stack([np.asarray(first.indices, dtype=np.int64), np.asarray(rest.indices, dtype=np.int64) + len(first.dictionary)], axis=1)
+        codes = two[np.asarray(spaced.indices)].ravel()
         ids = flat[spread((np.cumsum(lengths) - lengths)[codes], lengths[codes])]
-        size[rows] = np.diff(np.concatenate([[0], np.cumsum(lengths[codes])])[offsets])
+        size[rows] = np.diff(np.concatenate([[0], np.cumsum(lengths[codes])])[2 * offsets])
         if not odd.any():
             return ids, np.concatenate([[0], np.cumsum(size)])
         pieces.append((rows, ids))
     rows = np.flatnonzero(odd)
-    alone = [encode(x) for x in text.take(pa.array(rows)).to_pylist()]
+    alone = [np.asarray(x, np.uint32) for x in lib.encode(text.take(pa.array(rows)).to_pylist())]
     size[rows] = list(map(len, alone))
     ends = np.concatenate([[0], np.cumsum(size)])
     ids = np.empty(int(ends[-1]), np.uint32)
-    for at, values in [*pieces, (rows, np.fromiter((i for x in alone for i in x), np.uint32, int(size[rows].sum())))]:
+    for at, values in [*pieces, (rows, np.concatenate(alone) if alone else np.zeros(0, np.uint32))]:
         ids[spread(ends[at], size[at])] = values
     return ids, ends
 
@@ -88,9 +143,10 @@ def tokenise(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per piece: (id, start, length, ids binary, doc_tokens, sequence_id, offset).
 
-    A document is the ids of its whole text (null: empty) and an END id, so an empty one has one id. ids holds
-    little-endian unsigned 32-bit ids. Sequences are full but for the last; documents keep the order in which
-    Spark reads them. Repeated rows are packed as often as they come; other columns are left out.
+    A document is the ids that the library gives its whole text (null: empty) and an END id, so an empty one has one
+    id; a special token's string in a text gives that token's id. ids holds little-endian unsigned 32-bit ids.
+    Sequences are full but for the last; documents keep the order in which Spark reads them. Repeated rows and ids are
+    packed as often as they come, null ids too; an empty table gives no piece; other columns are left out.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
