@@ -1,12 +1,14 @@
 """Similarity join on word n-grams: MinHash LSH forest, then exact verification.
 
-A text is the set of its five-word shingles. Each of the forest's trees is a trie over a few MinHash values of
-the texts; texts that agree on a prefix lie next to each other once a tree's signatures are sorted. The prefix
-that has to agree is shortened, from all values down, until the trees together reach the target recall at the
-threshold. Texts that agree, and whose whole signatures don't rule a link out, form candidate families; within a
-family every pair is verified on the shingle sets themselves. Texts with the same set are one class, joined once.
-Large buckets and families are dealt as pairs of blocks, each of which returns counts and a spanning forest,
-never its pairs.
+A text is the set of its five-word shingles. Each of the forest's trees is a trie over a few MinHash values of the
+texts, kept as a sorted table: texts that agree on a prefix lie next to each other. Joining starts with texts that
+agree on whole paths and shortens the prefix by one value at a time; at each length only texts of different branches
+of a node are new to each other. The similarities of what was found say how many links a prefix of that length must
+have missed: shortening ends when these are fewer than the target recall allows, or at the length at which even links
+at the threshold itself are found often enough. Texts that agree, and whose whole signatures don't rule a link out,
+form candidate families; within a family every pair is verified on the shingle sets themselves. Texts with the same
+set are one class, joined once. Large nodes and families are dealt as pairs of blocks, each of which returns counts
+and a spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -28,11 +30,13 @@ from .shared import distinct_words, mixed, offsets_of, saved, slices, text_of
 WORDS = 5
 SIMILARITY = 0.8
 TREES = 16
-DEPTH = 5
+DEPTH = 6
+#: Probability at which a link at the threshold itself has to be found, and the share of all links that may end shortening sooner.
 RECALL = 0.9995
+ENOUGH = 0.99999
 #: How far below the threshold the share of equal signature values may lie (over five standard deviations).
 MARGIN = 0.26
-BUCKET_BLOCK = 512
+BUCKET_BLOCK = 1024
 FAMILY_BLOCK = 256
 FAMILY_SHINGLES = 1 << 20
 #: Ids that a join broadcasts at most: eight bytes each.
@@ -40,13 +44,29 @@ BROADCAST_ROWS = 500_000
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡·"
 
 
+def found_share(similarity: np.ndarray | float, trees: int, prefix: int) -> np.ndarray | float:
+    """The probability that a pair agrees on a prefix of that length in one of the trees."""
+    return 1 - (1 - similarity**prefix) ** trees
+
+
 def prefix_depth(similarity: float, trees: int, depth: int, recall: float) -> int:
     """The longest prefix at which the trees together find a pair of that similarity with that probability."""
-    while depth > 1 and 1 - (1 - similarity**depth) ** trees < recall:
+    while depth > 1 and found_share(similarity, trees, depth) < recall:
         depth -= 1
     return depth
 
 
+def recall_at(seen: dict[int, float], values: int, trees: int, prefix: int) -> float:
+    """The share of all links that prefixes of that length find, judged by those found: pairs by equal signature values.
+
+    A pair that is found with probability p stands for 1 / p pairs. Without pairs nothing is known: 0.
+    """
+    if not seen:
+        return 0.0
+    same, n = np.asarray(list(seen), float), np.asarray(list(seen.values()))
+    return float(n.sum() / (n / found_share(same / values, trees, prefix)).sum())
+
+
 def shingles(text: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of each text's distinct shingles, sorted: offsets by row, hashes, and 16-byte keys of the sets.
 
@@ -122,36 +142,56 @@ def run_starts(table: pa.Table, keys: int) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1, [table.num_rows]])
 
 
-def forest(trees: int, depth: int, matched: int, likely: float):
-    """Links rows of a bucket whose signatures agree on at least the likely share: edges of a spanning forest."""
+def forest(trees: int, depth: int, prefix: int, likely: float, similarity: float):
+    """Rows of a node that agree on a prefix of that length and on no longer one, or on the whole path if it is that long.
+
+    The rows of a node come sorted by path. Yields edges (src, dst) of a spanning forest of pairs whose signatures agree
+    on at least the likely share, and (same, n): new pairs of at least that similarity by equal values. A pair that
+    several trees show counts in each by its part; one that a longer prefix has shown is not new.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, float] = {}
         for table in groups(batches, 3):
             starts = run_starts(table, 3)
-            size = np.diff(starts)
-            raw = table.column("sig").chunk(0) if table.num_rows else None
+            raw = table.column("sig").chunk(0)
             sig = np.frombuffer(raw.buffers()[2], np.uint8)[np.frombuffer(raw.buffers()[1], "<i4")[raw.offset] :][: table.num_rows * trees * depth].reshape(table.num_rows, -1)
             left = np.asarray(table.column("two"))
             cross = np.asarray(table.column("bi")) != np.asarray(table.column("bj"))
             row = np.arange(table.num_rows)
-            end = np.repeat(starts[1:], size)
+            path = sig.reshape(-1, trees, depth)[row, np.asarray(table.column("tree"))]
+            fresh = np.zeros(table.num_rows, bool)
+            fresh[starts[:-1]] = True
+            node, branch = (np.cumsum(fresh | np.concatenate([[True], (path[1:, :k] != path[:-1, :k]).any(axis=1)])) for k in (prefix, prefix + 1))
+            end = np.searchsorted(node, node, side="right")
             one: list[np.ndarray] = []
             two: list[np.ndarray] = []
-            for shift in range(1, int(size.max()) if len(size) else 0):
+            for shift in range(1, int((end - row).max())):
                 i = row[row + shift < end]
-                i = i[~cross[i] | (left[i] != left[i + shift])]
+                i = i[(~cross[i] | (left[i] != left[i + shift])) & ((branch[i] != branch[i + shift]) | (prefix == depth))]
                 for at in range(0, len(i), 1 << 16):
                     p = i[at : at + (1 << 16)]
-                    same = (sig[p] == sig[p + shift]).mean(axis=1) >= likely
-                    one.append(p[same])
-                    two.append(p[same] + shift)
+                    agree = sig[p] == sig[p + shift]
+                    same = agree.sum(axis=1)
+                    keep = same >= likely * trees * depth
+                    one.append(p[keep])
+                    two.append(p[keep] + shift)
+                    close = same >= similarity * trees * depth
+                    shown = np.logical_and.accumulate(agree[close].reshape(-1, trees, depth), axis=2).sum(axis=2)
+                    new = shown.max(axis=1, initial=0) == prefix
+                    for k, n in zip(same[close][new].tolist(), (1 / (shown[new] == prefix).sum(axis=1)).tolist(), strict=True):
+                        seen[k] = seen.get(k, 0.0) + n
             if not one:
                 continue
             label = local_components(table.num_rows, np.concatenate(one), np.concatenate(two))
             found = np.flatnonzero(label != row)
             rep = table.column("rep").combine_chunks()
             if len(found):
-                yield pa.RecordBatch.from_arrays([rep.take(pa.array(found)), rep.take(pa.array(label[found]))], names=["src", "dst"])
+                none = pa.nulls(len(found))
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(found)), rep.take(pa.array(label[found])), none.cast(pa.int32()), none.cast(pa.float64())], names=["src", "dst", "same", "n"])
+        if seen:
+            none = pa.nulls(len(seen), rep.type)
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.float64())], names=["src", "dst", "same", "n"])
 
     return run
 
@@ -223,14 +263,15 @@ def in_blocks(rows: DataFrame, blocks: str, key: str) -> DataFrame:
 
 def similarity_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
-    trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
+    trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, enough: float = ENOUGH,
 ) -> DataFrame:
     """One row per input row: (id, class_id, n_links, component_id, kept).
 
     class_id is the smallest id of the texts with the same shingle set, n_links the number of other rows at a
     Jaccard similarity of at least `similarity`, component_id the smallest id that links reach, kept whether it
-    is the row's own. Null texts, texts without words and rows without an id link with nothing. Other columns
-    are left out.
+    is the row's own. Null texts, texts without words and rows without an id link with nothing. Rows that repeat an
+    id count as rows of their own, so copies under one id link with each other. An empty table gives an empty one.
+    Other columns, whatever their names, are left out.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -255,18 +296,29 @@ def similarity_join(
     real = signed.where(F.col("key").isNotNull() & F.col("id").isNotNull())
     classes = saved(real.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")), "shingle-classes")
 
-    matched = prefix_depth(similarity, trees, depth, recall)
-    prefixes = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.slice("sig", t * depth + 1, matched)))
-    thin = classes.select("rep", F.explode(prefixes).alias("bucket"))
+    shortest = prefix_depth(similarity, trees, depth, recall)
+    roots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.slice("sig", t * depth + 1, shortest)).alias("bucket")))
+    thin = classes.select("rep", F.inline(roots))
     crowded = saved(thin.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")
-    # Eight bits of each value are enough to rule links out: unequal values agree once in 256.
+    # Eight bits of each value are enough to rule links out and to tell branches apart: unequal values agree once in 256.
     short = F.unhex(F.array_join(F.transform("sig", lambda s: F.lpad(F.hex(s.bitwiseAND(255)), 2, "0")), ""))
-    members = saved(thin.join(crowded, "bucket").select("bucket", "rep", F.ceil(F.col("m") / BUCKET_BLOCK).alias("blocks")), "bucket-members")
+    members = saved(thin.join(crowded, "bucket").select("bucket", "tree", "rep", F.ceil(F.col("m") / BUCKET_BLOCK).alias("blocks")), "bucket-members")
     bits = saved(classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", short.alias("sig")), "short-signatures")
-    dealt = in_blocks(members.join(bits, "rep"), "blocks", "bucket")
-    dealt = dealt.repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", "sig")
-    likely = dealt.select("bucket", "bi", "bj", "two", "rep", "sig").mapInArrow(forest(trees, depth, matched, similarity - MARGIN), f"src {kind}, dst {kind}")
-    families = connected_components(saved(likely, "candidate-edges"))
+    tries = saved(in_blocks(members.join(bits, "rep"), "blocks", "bucket"), "tries")
+    path = F.expr(f"substring(sig, tree * {depth} + 1, {depth})")
+    seen: dict[int, float] = {}
+    edges: DataFrame | None = None
+    for prefix in range(depth, shortest - 1, -1):
+        rows = tries.select("bucket", "bi", "bj", "two", "tree", "rep", "sig").repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj", path, "rep")
+        found = saved(rows.mapInArrow(forest(trees, depth, prefix, similarity - MARGIN, similarity), f"src {kind}, dst {kind}, same int, n double"), "candidate-edges")
+        # One row for each number of equal values comes back.
+        for r in found.where("same IS NOT NULL").groupBy("same").agg(F.sum("n").alias("n")).collect():
+            seen[r["same"]] = seen.get(r["same"], 0.0) + r["n"]
+        own = found.where("src IS NOT NULL").select("src", "dst")
+        edges = own if edges is None else edges.unionByName(own)
+        if recall_at(seen, count, trees, prefix) >= enough:
+            break
+    families = connected_components(edges)
 
     size = classes.select("rep", "size", "n", "key").join(families.withColumnRenamed("id", "rep"), "rep")
     size = saved(size, "family-members")
