@@ -41,6 +41,8 @@ def principal_axes(vectors: list[list[float]], dims: int, axes: int) -> np.ndarr
 
 def near_pairs(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, same: bool, eps: float, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i in a, j in b) with cosine >= threshold; for same only i before j. x: vectors, y: projections."""
+    # Scaling by the largest component keeps products of large ones finite and of small ones above zero.
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 5e-324) if len(x) else x
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []

@@ -5,8 +5,9 @@ has a text-to-tag ratio, where the text of links counts nothing; a Gaussian smoo
 a threshold on them clusters lines into content and the rest. The container that holds most of the clustered text,
 or a named article with a fair share of it, is the page's region. Of its lines the clustered ones are content, and
 so are those below the threshold that aren't links (short paragraphs, captions, cells). Lists of links at the edges
-of the region go with their headings. Furniture (menus, footers, adverts, comments and the like, by element or by class) is never content,
-except that a container whose class sounds like a form or a sidebar is none if it holds most of the page's text.
+of the region go with their headings. Furniture (menus, footers, adverts, comments and the like, by element or by
+class) is never content, except that a container whose class sounds like a form or a sidebar is none if it holds most
+of the page's text.
 """
 
 from __future__ import annotations

@@ -284,7 +284,12 @@ def spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, switch: float = SWITCH) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every document; other columns are left out."""
+    """(doc_id, held_out, lang_pred, score) for every document; other columns, whatever their names, are left out.
+
+    Null and empty texts and those without a letter are `und` with score 0; texts of any length are read whole, and of
+    languages with equally many letters the first by name is taken. Repeated rows and ids come back as often as they
+    come; rows with a null id are not held out and teach nothing.
+    """
     model = train(docs, sample_docs, switch)
     found = predict(docs.select("doc_id", "text"), model, switch=switch)
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))

@@ -193,7 +193,12 @@ def score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", out: st
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every document; other columns are left out."""
+    """(doc_id, held_out, score, predicted) for every document; other columns, whatever their names, are left out.
+
+    Null and empty texts have the same score, that of a text without words; texts of any length are scored whole.
+    Repeated rows and ids come back as often as they come, rows with a null id are not held out and teach nothing.
+    Without labels of both classes the score is their share, one half without any.
+    """
     model = train(docs, labels, per_class)
     scored = score(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

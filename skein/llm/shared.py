@@ -20,13 +20,15 @@ SLICE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Where none is set, as in tests, a folder of this machine becomes the checkpoint folder.
+    Where none is set and Spark runs on this machine alone, as in tests, a folder of it becomes the checkpoint folder.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir")
     if not base:
         found = context._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no folder that the executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
             found = context._jsc.sc().getCheckpointDir()
         base = found.get()

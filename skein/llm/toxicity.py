@@ -21,10 +21,9 @@ from pyspark.sql import functions as F
 from .shared import code_points, distinct_words, held_out, in_training, labelled_sample, mixed, offsets_of, saved, slices, sums, text_of, with_columns
 
 THRESHOLD = 0.3
-#: Labelled documents of each class, windows and seed words that the model is fitted on, at most.
+#: Labelled documents of each class, and windows of their tokens, that the model is fitted on, at most.
 PER_CLASS = 4000
 WINDOWS = 16_000
-SEEDS = 5000
 LENGTH = 32
 BITS = 18
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -222,18 +221,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Fie
     counts = near.groupBy("word").agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean"))
     total = {r["y"]: r["n"] for r in split_docs.groupBy("y").agg(F.sum(F.size("words")).alias("n")).collect()}
     ratio = (F.col("toxic") + 0.5) / (F.col("clean") + 0.5) * ((total.get(0) or 1) / (total.get(1) or 1))
-    seeds = counts.where((F.col("toxic") >= 4) & (ratio >= 6)).orderBy(F.desc("toxic"), "word").limit(SEEDS).select("word")
+    # Words of a bounded number of documents.
+    seeds = saved(counts.where((F.col("toxic") >= 4) & (ratio >= 6)).select("word"), "toxic-words")
+    lexicon = sorted(r["word"] for r in seeds.collect())
 
     # Windows of toxic documents with a seed, and others for contrast.
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / LENGTH)), lambda k: F.slice("words", k.cast("int") * LENGTH + 1, LENGTH))
     pieces = split_docs.where(F.size("words") > 0).select("doc_id", "y", F.posexplode(cut).alias("k", "words"))
-    lexicon = [r["word"] for r in seeds.collect()]
-    known = F.array(*[F.lit(w) for w in lexicon]) if lexicon else F.array().cast("array<string>")
-    pieces = pieces.withColumn("hit", (F.col("y") == 1) & F.arrays_overlap("words", known))
+    known = pieces.select("doc_id", "k", F.explode("words").alias("word")).join(F.broadcast(seeds), "word", "left_semi").select("doc_id", "k", F.lit(True).alias("seeded")).distinct()
+    pieces = saved(pieces.join(known, ["doc_id", "k"], "left").withColumn("seeded", F.coalesce("seeded", F.lit(False))), "toxic-windows")
     # As many with a seed in toxic documents as others, among these those of clean documents with a seed first.
     order = [F.xxhash64("doc_id", "k"), F.col("doc_id"), F.col("k")]
-    chosen = pieces.where("hit").orderBy(*order).limit(WINDOWS // 2).unionByName(
-        pieces.where("not hit").orderBy(F.desc(F.arrays_overlap("words", known) & (F.xxhash64("k", "doc_id") % 2 == 0)), *order).limit(WINDOWS // 2)
+    hit = (F.col("y") == 1) & F.col("seeded")
+    chosen = pieces.where(hit).orderBy(*order).limit(WINDOWS // 2).unionByName(
+        pieces.where(~hit).orderBy(F.desc(F.col("seeded") & (F.xxhash64("k", "doc_id") % 2 == 0)), *order).limit(WINDOWS // 2)
     )
     table = chosen.select("y", F.array_join("words", " ").alias("text")).toArrow().sort_by([("y", "ascending"), ("text", "ascending")]).combine_chunks()
     text = table["text"].chunk(0) if table.num_rows else pa.array([], pa.string())
@@ -304,7 +305,9 @@ def spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document; other columns are left out.
 
-    Null and empty texts score like a document without words.
+    Null and empty texts score like a document without words; texts of any length are scored whole. Repeated rows and
+    ids come back as often as they come, rows with a null id are not held out and teach nothing. Without labels of both
+    classes the score is that of an unfitted field.
     """
     field = train(docs, labels, per_class)
     scored = score(docs.select("doc_id", "text"), field)
