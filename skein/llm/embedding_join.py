@@ -35,7 +35,9 @@ def principal_axes(vectors: list[list[float]], dims: int, axes: int) -> np.ndarr
     """Orthonormal rows: the leading principal axes of unit vectors, shorter ones padded with zeros."""
     x = np.zeros((max(1, len(vectors)), dims))
     for i, v in enumerate(vectors):
-        x[i, : len(v)] = np.asarray(v, dtype=np.float64) / (math.sqrt(math.fsum(float(c) ** 2 for c in v)) or 1)
+        x[i, : len(v)] = v
+        x[i] /= np.abs(x[i]).max() or 1
+        x[i] /= math.sqrt(math.fsum(x[i] ** 2)) or 1
     return np.linalg.svd(x - x.mean(axis=0), full_matrices=True)[2][: min(axes, dims)] if dims <= 4096 else np.eye(axes, dims)
 
 
@@ -126,7 +128,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             size = np.diff(offsets)
             x[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(offsets[:-1], size)] = flat
             # Scaling by the largest component first keeps the squares finite.
-            x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
+            x /= np.maximum(np.abs(x).max(axis=1, keepdims=True), 5e-324)
             y = (x / np.sqrt((x * x).sum(axis=1, keepdims=True))) @ axes.T
             cells = np.floor(y / eps).astype(np.int32)
             even = lambda a, t: pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32()), pa.array(a.ravel(), t))

@@ -14,7 +14,7 @@ and a spanning forest, never its pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -184,8 +184,8 @@ def forest(trees: int, depth: int, prefix: int, likely: float, similarity: float
             if not one:
                 continue
             label = local_components(table.num_rows, np.concatenate(one), np.concatenate(two))
-            found = np.flatnonzero(label != row)
             rep = table.column("rep").combine_chunks()
+            found = np.flatnonzero(label != row)
             if len(found):
                 none = pa.nulls(len(found))
                 yield pa.RecordBatch.from_arrays([rep.take(pa.array(found)), rep.take(pa.array(label[found])), none.cast(pa.int32()), none.cast(pa.float64())], names=["src", "dst", "same", "n"])
@@ -261,6 +261,17 @@ def in_blocks(rows: DataFrame, blocks: str, key: str) -> DataFrame:
     return whole.unionByName(many).select(key, "bi", "bj", "two", *[c for c in rows.columns if c not in (key, "bi", "bj", "two", blocks)])
 
 
+def by_row(source: DataFrame, id_col: str, join: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """join over source(id, text) where different texts share an id: by numbers of rows in the order of ids, null last."""
+    order = F.col("id").asc_nulls_last()
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = saved(source.repartitionByRange(parts, order).sortWithinPartitions(order).withColumn("row", F.monotonically_increasing_id()), "numbered-texts")
+    found = join(rows.select(F.when(F.col("id").isNotNull(), F.col("row")).alias("row"), "text"))
+    name = lambda number, out: rows.select(F.col("row").alias(number), F.col("id").alias(out))
+    found = found.join(name("row", "own"), "row", "left").join(name("class_id", "class"), "class_id", "left").join(name("component_id", "least"), "component_id", "left")
+    return found.select(F.col("own").alias(id_col), F.col("class").alias("class_id"), "n_links", F.col("least").alias("component_id"), F.col("own").eqNullSafe(F.col("least")).alias("kept"))
+
+
 def similarity_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY,
     trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, enough: float = ENOUGH,
@@ -296,6 +307,9 @@ def similarity_join(
     real = signed.where(F.col("key").isNotNull() & F.col("id").isNotNull())
     classes = saved(real.groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("sig").alias("sig")), "shingle-classes")
 
+    if not classes.groupBy("rep").count().where("count > 1").isEmpty():
+        return by_row(source, id_col, lambda rows: similarity_join(rows, "row", "text", words, similarity, trees, depth, recall, enough))
+
     shortest = prefix_depth(similarity, trees, depth, recall)
     roots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.slice("sig", t * depth + 1, shortest)).alias("bucket")))
     thin = classes.select("rep", F.inline(roots))

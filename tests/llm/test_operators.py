@@ -36,6 +36,8 @@ def test_sentencepiece_is_the_library(spark):
         want = sp.encode(ODD[r.doc_id] or "")
         assert r.ids == want and r.text == sp.decode(want)
     assert sentencepiece_codec.encode(empty_docs(spark), model).count() == 0
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b")], "doc_id long, text string")
+    assert [r.ids for r in sentencepiece_codec.encode(twice, model).collect()] == [sp.encode("a b")] * 3
 
 
 def test_decode_of_broken_bytes(spark):
@@ -53,9 +55,10 @@ def test_packing_is_the_library_and_gapless(spark):
 
     path = queries.tokenizer("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    pieces = packing.checksum(packing.pack(docs_of(spark, ODD, offset="clash"), path)).toPandas()
-    for i, t in enumerate(ODD):
+    assert tok.encode("<|endoftext|> x", add_special_tokens=False).ids[0] == 50256
+    texts = [*ODD, *(c * 1_000_000 + "a" for c in " \t\n"), " \n" * 500_000, "a-b 'tis it's1 é#x <|endoftext|>y", "x " * 2000 + "<|endoftext|>"]
+    pieces = packing.checksum(packing.pack(docs_of(spark, texts, offset="clash"), path)).toPandas()
+    for i, t in enumerate(texts):
         ids = np.asarray([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         own = pieces[pieces.doc_id == i].sort_values("start")
         assert own.length.sum() == len(ids) and (own.doc_tokens == len(ids)).all()
@@ -65,18 +68,37 @@ def test_packing_is_the_library_and_gapless(spark):
         assert own.offset.tolist() == np.concatenate([[0], np.cumsum(own.length)[:-1]]).tolist()
         assert own.length.sum() == 1024 or k == pieces.sequence_id.max()
     assert packing.pack(empty_docs(spark), path).count() == 0
+    twice = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "x"), (1, "three")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.doc_tokens) for r in packing.pack(twice, path).collect()) == [(0, 2), (1, 2), (1, 3), (1, 3)]
+
+
+def test_packing_pieces_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    random = np.random.default_rng(6)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "<|endoftext|>", "'s", "é", "1", "23", "!", "\u3000", "中", "<|", "\x85", "\x1c", " the", "-", "ÿ"]
+    texts = ["".join(random.choice(parts, random.integers(0, 12))) for _ in range(4000)]
+    monkeypatch.setattr(packing, "KEPT", 50)
+    packing.library(path).known.clear()
+    for at in range(0, len(texts), 500):
+        ids, ends = packing.tokenise(pa.array(texts[at : at + 500]), path)
+        assert [ids[p:q].tolist() for p, q in zip(ends[:-1], ends[1:], strict=True)] == [tok.encode(t, add_special_tokens=False).ids for t in texts[at : at + 500]]
 
 
 def test_exact_dedup_brute(spark):
     texts = [*ODD, "a\tb", "a b", "a \n b", None, "A b", *["hot copy"] * 500]
-    got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs_of(spark, texts, norm="clash"), salts=4).collect()}
     import re
 
     groups = defaultdict(list)
     for i, t in enumerate(texts):
         groups[re.sub(r"[\x20\x09-\x0D]+", " ", t or "")].append(i)
-    for t, own in groups.items():
-        for i in own:
+    # Texts in one block, texts of some copies in several, all texts in as many as they have rows.
+    for cut in ({}, {"run_rows": 100, "most_blocks": 3}, {"run_rows": 1}):
+        got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs_of(spark, texts, norm="clash"), **cut).collect()}
+        for t, i in ((t, i) for t, own in groups.items() for i in own):
+            own = groups[t]
             assert (got[i].keep_id, got[i].group_size, got[i].kept, got[i].text_sha256) == (min(own), len(own), i == min(own), hashlib.sha256(t.encode()).hexdigest())
     assert exact_dedup.exact_dedup(empty_docs(spark)).count() == 0
     twice = exact_dedup.exact_dedup(docs_of(spark, ["x"]).union(docs_of(spark, ["x"]))).collect()
@@ -85,6 +107,17 @@ def test_exact_dedup_brute(spark):
     assert {(r.doc_id, r.kept) for r in null} == {(None, False), (3, True)}
 
 
+def test_exact_dedup_is_decided_by_neighbours(spark, monkeypatch):
+    """Texts of one hash stay apart, and without the comparison all rows are alone."""
+    docs = docs_of(spark, ["same lead of many characters, x", "same lead of many characters, y", "same lead of many characters, x"])
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: F.lit(1).cast("long"))
+    for cut in ({}, {"run_rows": 1}):
+        assert {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs, **cut).collect()} == {0: 0, 1: 1, 2: 0}
+    whole = exact_dedup.neighbour_runs
+    monkeypatch.setattr(exact_dedup, "neighbour_runs", lambda rows, *a, **k: whole(rows, *a, **k).withColumns({"starts": F.lit(True), "run": F.monotonically_increasing_id()}))
+    assert {r.group_size for r in exact_dedup.exact_dedup(docs).collect()} == {1}
+
+
 def brute_jaccard(texts):
     sets = []
     for t in texts:
@@ -137,6 +170,42 @@ def test_near_join_brute(spark):
 def test_prefix_depth_reaches_recall():
     d = near_join.prefix_depth(0.8, 16, 5, 0.9995)
     assert d == 4 and 1 - (1 - 0.8**d) ** 16 >= 0.9995 and near_join.prefix_depth(0.5, 4, 5, 0.999) == 1
+    # Pairs that are nearly equal need no shorter prefix, pairs at the threshold do.
+    assert near_join.recall_at({94: 50.0}, 96, 16, 6) > 0.99999 > near_join.recall_at({77: 50.0}, 96, 16, 6) and near_join.recall_at({}, 96, 16, 6) == 0
+
+
+def test_forest_finds_links_near_the_threshold(spark, monkeypatch):
+    random = np.random.default_rng(8)
+    texts, want = [], 0
+    for g in range(400):
+        base = [f"g{g}w{i}" for i in range(184)]
+        other = list(base)
+        for at in random.choice(36, 4, replace=False):  # 4 of 180 shingles' middles: similarity 160 / 200
+            other[5 * at + 2] = "changed"
+        texts += [" ".join(base), " ".join(other)]
+        want += len(brute_jaccard(texts[-2:]))
+    lengths = []
+    kept = near_join.forest
+    monkeypatch.setattr(near_join, "forest", lambda t, d, p, *a: lengths.append(p) or kept(t, d, p, *a))
+    docs = docs_of(spark, texts).select("doc_id", "text")
+    found = near_join.similarity_join(docs).where("n_links > 0").count() / 2
+    # A link is missed with probability 0.0002, so two of them hardly ever.
+    assert want > 300 and found > want - 2 and lengths == [6, 5, 4]
+    # Fewer and longer prefixes lose some: the links come out of the tries.
+    few = near_join.similarity_join(docs, trees=2, recall=0.0).where("n_links > 0").count() / 2
+    assert 0 < few < 0.9 * want
+    # Near copies alone: shortening ends where they say that nothing is left.
+    lengths.clear()
+    near = [" ".join([f"g{g}w{i}" for i in range(600)] + ["end"] * k) for g in range(60) for k in (0, 1)]
+    assert near_join.similarity_join(docs_of(spark, near)).where("n_links = 1").count() == 120 and lengths == [6]
+
+
+def test_near_join_null_and_repeated_ids(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a), (1, a), (None, a), (2, f"{a} end"), (2, "other words that stand here alone"), (3, None), (4, ""), (None, None)]
+    got = sorted(((r.doc_id, r.n_links, r.component_id) for r in near_join.similarity_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 0, None), (2, 2, 1), (2, 0, 2), (3, 0, 3), (4, 0, 4), (None, 0, None)], key=str)
+
 
 
 def test_embedding_join_brute(spark):
@@ -167,6 +236,12 @@ def test_embedding_join_brute(spark):
     assert embedding_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_join_extremes(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1.0, 2.0], 1), (3, [1e-200, 2e-200], 1), (4, [2.0, -1.0], 1), (4, [2.0, -1.0], 1), (None, [1.0, 2.0], 1)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embedding_join.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()), key=str)
+    assert got == sorted([(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (4, 1, 4), (None, 0, None)], key=str)
+
+
 def test_components_chain(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(200)] + [(900, 901)], "src long, dst long")
     got = {r.id: r.component for r in components.connected_components(edges).collect()}
@@ -185,7 +260,54 @@ def test_html(spark):
     assert got[1] == got[2] == got[4] == ("", 0) and got[3][1] == len(got[3][0]) and got[5][0] == "deep"
 
 
+LONG = "Long text of the page, as people write it. " * 6
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<nav><a>m</a></nav><div class=legal><p>{LONG}</p><p>Yes.</p><p>{LONG}</p></div><footer>f</footer>", f"{LONG} Yes. {LONG}"),
+        (f"<form id=f class=form><div id=menu><a>a</a><a>b</a></div><div><p>{LONG}</p><p>{LONG}</p></div></form>", f"{LONG} {LONG}"),
+        (f"<div class='side'><h1>A title</h1><p>{LONG}</p></div><div class=sidebar><p>short</p></div>", f"A title {LONG}"),
+        (f"<main><h1>A title</h1><p>{LONG}</p><h3>You may also like</h3><ul>" + "<li><a href=x>Some story</a></li>" * 5 + "</ul></main>", f"A title {LONG}"),
+        (f"<div><a>Home</a><a>News</a></div><p>{LONG}</p><p>{LONG}</p>", f"{LONG} {LONG}"),
+        (f"<div><ul>{'<li><a>Home</a></li>' * 5}</ul></div><p>{LONG}</p><p>Ok.</p><p>{LONG}</p>", f"{LONG} Ok. {LONG}"),
+        (f"<article><p>{LONG}</p><ul>{'<li><a>one</a></li>' * 4}</ul><p>{LONG}</p></article>", f"{LONG} {'one ' * 4} {LONG}"),
+        (f"<![foo[ x ]]><p>{LONG}</p><![CDATA[ a ]]><p>Yes.</p>", f"{LONG} Yes."),
+        ("<article><h1>Two words</h1></article>", "Two words"),
+    ],
+)
+def test_html_ratios_decide(page, want):
+    assert html_text.extract_text(f"<html><body>{page}</body></html>") == " ".join(want.split())
+
+
+def test_html_without_ratios_differs():
+    page = f"<div><ul>{'<li><a>Home</a></li>' * 5}</ul></div><p>{LONG}</p><p>{LONG}</p>"
+    assert html_text.extract_text(page, threshold=0.0) != html_text.extract_text(page)
+
+
+def test_html_smoothing_brute():
+    random = np.random.default_rng(9)
+    for n in (1, 3, 20):
+        r = random.random(n) * 50
+        weight = [np.exp(-(k**2) / (2 * 1.5**2)) for k in range(-html_text.RADIUS, html_text.RADIUS + 1)]
+        want = [sum(w * r[i + k] for k, w in zip(range(-html_text.RADIUS, html_text.RADIUS + 1), weight, strict=True) if 0 <= i + k < n) / sum(weight) for i in range(n)]
+        assert np.allclose(html_text.smoothed(r, 1.5), want)
+
+
+def test_html_broken_markup(spark):
+    random = np.random.default_rng(10)
+    parts = ["<", "<!", "<![", "]]>", "<!--", "-->", "<p", "<p>", "</p>", "</", "<a href='", "'>", "&amp", "&#", "&#x110000;", "text", "<script>", "</script>", "<title>", "<![if", "[", "<?", "?>", "\x00", "<!ELEMENT x>", "<plaintext>", "<svg>"]
+    for _ in range(3000):
+        html_text.extract_text("".join(random.choice(parts, random.integers(1, 14))))
+    rows = [(1, "u", "<p>a</p>")] * 2 + [(None, None, "<p>b</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert sorted((r.page_id or 0, r.text) for r in html_text.extract(df).collect()) == [(0, "b"), (1, "a"), (1, "a")]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_html_tables_articles(spark):
+    """The tables' pages name their article: the method finds just its text, also where the name is taken away."""
     import re
 
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
@@ -196,6 +318,8 @@ def test_html_tables_articles(spark):
 
 def test_warc_round_trip(spark):
     big, bigger = "x" * 1500, "é\r\n\r\n" * 900
+    twice = warc.read_archives(warc.write_archives(spark.createDataFrame([(1, "u", big), (1, "u", big), (2, "v", "y" * 9_000_000)], "page_id long, url string, html string"))).collect()
+    assert sorted((r.page_id, r.record_type, r.payload_bytes) for r in twice) == [(1, "response", 1500), (1, "response", 1500), (2, "response", 9_000_000)]
     rows = [(1, "http://a", big), (2, None, big), (3, "http://c d", "s"), (4, "u", "s"), (5, "u", None), (6, "u", bigger), (7, "u", big), (None, "u", big)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha", F.lit("clash")).repartition(3)
     index = warc.write_archives(df)
@@ -277,6 +401,103 @@ def test_viterbi_brute():
         assert langid.viterbi(s, np.asarray([0, n, n]), 2.0).tolist() == list(best)
 
 
+def test_word_scores_brute():
+    """Scores of a word against trigram counts taken one by one."""
+    texts = pa.array(["alo ama", "oko, olu", "x1 alo"])
+    _, codes, distinct = shared.distinct_words(texts)
+    words = langid.analyse(distinct)
+    plain = [w.lower().strip(langid.TRIM) for w in distinct.to_pylist()]
+    assert words.letters.tolist() == [sum(c.isalpha() for c in w) for w in plain]
+    assert np.diff(words.offsets).tolist() == [len(w) for w in plain]
+    bins = {}
+    for w, a, b in zip(plain, words.offsets[:-1], words.offsets[1:], strict=True):
+        marked = f"\x01{w}\x02"
+        for i, h in enumerate(words.bins[a:b].tolist()):
+            assert bins.setdefault(marked[i : i + 3], h) == h
+    random = np.random.default_rng(3)
+    grams = random.integers(0, 9, (1 << langid.TRIGRAM_BITS, 2)).astype(float)
+    scripts = np.full((len(langid.SCRIPT_NAMES), 2), 5.0)
+    model = langid.model_of(["aa", "bb"], grams, scripts)
+    every = (grams.sum(axis=1) + 0.5) / (grams.sum(axis=1) + 0.5).sum()
+    for w, got in zip(plain, model.word_scores(words), strict=True):
+        marked, want = f"\x01{w}\x02", np.zeros(2)
+        for i in range(len(w)):
+            h = bins[marked[i : i + 3]]
+            p = np.log((grams[h] + 200 * every[h]) / (grams.sum(axis=0) + 200))
+            want += p - p.mean()
+        assert np.allclose(got, want * any(c.isalpha() for c in w), atol=1e-3)
+
+
+def slow_tree(x, g, h, leaves, ridge):
+    """Greedy splits of rows by one ordered bin, every cut tried."""
+    parts = [np.arange(x.max() + 1)]
+    gain = lambda bins: g[np.isin(x, bins)].sum() ** 2 / (h[np.isin(x, bins)].sum() + ridge)
+    while len(parts) < leaves:
+        options = [(gain(p[:c]) + gain(p[c:]) - gain(p), p[c], k, c) for k, p in enumerate(parts) for c in range(1, len(p))]
+        if not options or max(options)[0] <= 1e-9:
+            break
+        _, _, k, c = max(options)
+        parts[k : k + 1] = [parts[k][:c], parts[k][c:]]
+    return {int(b): g[np.isin(x, p)].sum() / (h[np.isin(x, p)].sum() + ridge) for p in parts for b in p}
+
+
+def test_booster_against_a_slow_one():
+    random = np.random.default_rng(11)
+    x = random.integers(0, 5, (120, 2)).astype(float)
+    y = ((x[:, 0] > 2) ^ (random.random(120) < 0.1)).astype(float)
+    model = quality.fit_additive(x, y, rounds=6, pair_rounds=0, pairs=0, bins=8)
+    b = model.bins(x)
+    tables = [dict.fromkeys(range(b[:, j].max() + 1), 0.0) for j in range(2)]
+    margin = np.full(120, np.log((y.sum() + 0.5) / (121 - y.sum() - 0.5)))
+    for _ in range(6):
+        for j in range(2):
+            p = 1 / (1 + np.exp(-margin))
+            step = slow_tree(b[:, j], y - p, p * (1 - p), 3, 2.0)
+            for k in tables[j]:
+                tables[j][k] += 0.15 * step[k]
+            margin += 0.15 * np.asarray([step[k] for k in b[:, j]])
+    assert np.allclose(model.margin(b), margin)
+    assert all(np.isclose(model.tables[j][k], v) for j in range(2) for k, v in tables[j].items())
+    paired = quality.fit_additive(x, ((x[:, 0] > 2) ^ (x[:, 1] > 2)).astype(float), rounds=6, pairs=1)
+    assert paired.pairs[0][:2] == (0, 1) and np.mean((paired.score(x) > 0.5) == ((x[:, 0] > 2) ^ (x[:, 1] > 2))) == 1
+
+
+def test_scores_of_odd_rows(spark):
+    """Repeated rows, null ids, very long texts, clashing names and empty tables of the three classifiers."""
+    docs, labels = trained(spark)
+    long = "alo vile ama " * 100_000
+    odd = spark.createDataFrame([(7, "alo"), (7, "alo"), (None, "alo"), (900, long), (901, None), (902, "")], "doc_id long, text string").withColumns({c: F.lit(None).cast("string") if c == "lang" else F.lit("clash") for c in ("lang", "score", "y", "x", "predicted")})
+    rows = docs.select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang")).withColumns({"score": F.lit("clash"), "y": F.lit(1), "held_out": F.lit(2)})
+    for got in (quality.classify(rows, labels), toxicity.classify(rows, labels), langid.identify(rows)):
+        assert got.columns[:2] == ["doc_id", "held_out"]
+        out = got.collect()
+        by = {r.doc_id: r.score for r in out}
+        assert len(out) == 243 + 6 and sum(r.doc_id == 7 for r in out) == 3 and all(0 <= r.score <= 1 for r in out)
+        assert np.allclose([by[901], by[902]], by[240]) and not [r for r in out if r.doc_id is None][0].held_out
+    for classify in (quality.classify, toxicity.classify):
+        assert classify(docs.limit(0), labels).count() == 0
+    assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_document_scores_brute(spark):
+    """A document's score from marginals that are enumerated path by path."""
+    docs, labels = trained(spark)
+    field = toxicity.train(docs, labels)
+    text = "alo vile, ama ari vile"
+    words = [w.lower().strip(toxicity.TRIM) for w in text.split()]
+    e = field.emissions(toxicity.word_features(pa.array(words)))
+    p, z = np.zeros(len(words)), 0.0
+    for path in np.ndindex(*[2] * len(words)):
+        w = np.exp(sum(e[i] * k for i, k in enumerate(path)) + sum(field.transitions[a, b] for a, b in zip(path, path[1:], strict=False)))
+        z += w
+        p += w * np.asarray(path)
+    p /= z
+    x = np.asarray([1, np.log1p(p.sum()), p.max(), np.log1p(len(words))])
+    want = 1 / (1 + np.exp(-x @ field.document))
+    got = toxicity.score(spark.createDataFrame([(1, text)], "doc_id long, text string"), field).first().score
+    assert np.isclose(got, want)
+
+
 def test_quality(spark):
     docs, labels = trained(spark)
     got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
