@@ -183,8 +183,12 @@ def forest(trees: int, depth: int, prefix: int, likely: float, similarity: float
                         seen[k] = seen.get(k, 0.0) + n
             if not one:
                 continue
-            label = local_components(table.num_rows, np.concatenate(one), np.concatenate(two))
+            # To the smallest id of each component, so that trees and lengths which join the same rows give the same edges.
             rep = table.column("rep").combine_chunks()
+            order = np.asarray(pc.sort_indices(rep), dtype=np.int64)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = row
+            label = order[local_components(len(order), rank[np.concatenate(one)], rank[np.concatenate(two)])][rank]
             found = np.flatnonzero(label != row)
             if len(found):
                 none = pa.nulls(len(found))
