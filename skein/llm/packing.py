@@ -36,7 +36,7 @@ BESIDE = f" {SPACE}|{SPACE} |^ | $"
 #: A letter and a mark or digit after it: byte-level patterns always start a new piece between these two.
 BETWEEN = r"^(?s)(?P<head>.*?[A-Za-zÀ-ÖØ-öø-ɏ])(?P<tail>[!-@\[-`{-~].*)$"
 #: Distinct pieces of text whose ids a worker keeps from one slice to the next, at most; a hundred bytes each; then the older half goes.
-KEPT = 1_000_000
+KEPT = 400_000
 #: Pieces that the library gets at once.
 JOINED = 400
 
@@ -153,7 +153,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows in slices(batch):
+            # Ids are kept between slices, so short ones cost little.
+            for rows in slices(batch, most=2 << 20):
                 ids, ends = tokenise(text_of(rows), tokenizer)
                 n = len(ends) - 1
                 full = np.full(len(ids) + n, END, dtype="<u4")
