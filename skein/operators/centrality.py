@@ -38,7 +38,7 @@ def _power(edges: DataFrame, nodes: DataFrame, start: float, step: object, norm:
         if (new.agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0] or 0.0) < tol:
             return new.select("id", F.round("x", 6).alias("score"))
         state = new.select("id", "x")
-    return state.select("id", F.round("x", 6).alias("score"))
+    raise RuntimeError(f"the vector did not settle in {most} rounds")
 
 
 def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, tol: float = 1e-9, most: int = 1000) -> DataFrame:
@@ -67,8 +67,8 @@ def hits(edges: DataFrame, nodes: DataFrame, tol: float = 1e-9, most: int = 100)
         moved = new.agg(F.max(F.greatest(F.abs(F.col("x") - F.col("a")), F.abs(F.col("y") - F.col("h"))))).first()[0] or 0.0
         state = new.select("id", F.col("x").alias("a"), F.col("y").alias("h"))
         if moved < tol:
-            break
-    return state.select("id", F.round("a", 6).alias("authority"), F.round("h", 6).alias("hub"))
+            return state.select("id", F.round("a", 6).alias("authority"), F.round("h", 6).alias("hub"))
+    raise RuntimeError(f"the vectors did not settle in {most} rounds")
 
 
 def hitting_probabilities(edges: DataFrame, nodes: DataFrame, targets: DataFrame, tol: float = 1e-9, most: int = 1000, fixed: int | None = None) -> DataFrame:
@@ -87,6 +87,9 @@ def hitting_probabilities(edges: DataFrame, nodes: DataFrame, targets: DataFrame
         state = new.select("id", "t", "h")
         if moved is not None and moved < tol:
             break
+    else:
+        if fixed is None:
+            raise RuntimeError(f"probabilities did not settle in {most} rounds")
     return state.select("id", F.round("h", 6).alias("probability"))
 
 

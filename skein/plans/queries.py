@@ -167,17 +167,17 @@ def hitting_fixed_k(spark, d):
 
 def eigenvector(spark, d):
     g = trade(spark, d)
-    return centrality.eigenvector_centrality(g.directed(), g.nodes, most=40)
+    return centrality.eigenvector_centrality(g.directed(), g.nodes)
 
 
 def katz(spark, d):
     g = trade(spark, d)
-    return centrality.katz_centrality(g.directed(), g.nodes, alpha=0.01, most=40)
+    return centrality.katz_centrality(g.directed(), g.nodes, alpha=0.01)
 
 
 def hits(spark, d):
     g = trade(spark, d)
-    return centrality.hits(g.edges.select("src", "dst"), g.nodes, most=20)
+    return centrality.hits(g.edges.select("src", "dst"), g.nodes)
 
 
 def betweenness(spark, d):
