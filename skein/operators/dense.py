@@ -184,9 +184,9 @@ def min_vertex_cut(edges: DataFrame, sources: list[str], targets: list[str], cap
 
 
 def min_cost_flow(edges: DataFrame, sources: list[str], targets: list[str], flow: int, cap: int = CAP) -> DataFrame:
-    """(graph_id, flow, cost): least cost of so many paths that share no inner node, or as many as there are.
+    """(graph_id, flow, cost, paths): least cost of so many paths that share no inner node, or as many as there are.
 
-    Successive cheapest paths on the residual graph, where going back along an edge gives its cost back.
+    paths lists the nodes of each. Successive cheapest paths on the residual graph, where going back along an edge gives its cost back.
     """
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -235,9 +235,21 @@ def min_cost_flow(edges: DataFrame, sources: list[str], targets: list[str], flow
                 v = arcs[k][0]
             done += 1
             cost += float(dist[2 * n + 1])
-        return pd.DataFrame({"flow": [done], "cost": [cost]})
-
-    return per_graph(edges, kernel, "flow int, cost double", cap)
+        # What an arc carries is the capacity of its way back.
+        carried = [arcs[k ^ 1][2] if k % 2 == 0 else 0 for k in range(len(arcs))]
+        paths = []
+        for _ in range(done):
+            v, walk = 2 * n, []
+            while v != 2 * n + 1:
+                k = next(k for k in out[v] if carried[k] > 0)
+                carried[k] -= 1
+                if v < 2 * n and v % 2 == 0:
+                    walk.append(names[v // 2])
+                v = arcs[k][1]
+            paths.append(walk)
+        return pd.DataFrame({"flow": [done], "cost": [cost], "paths": [sorted(paths)]})
+
+    return per_graph(edges, kernel, "flow int, cost double, paths array<array<string>>", cap)
 
 
 def hitting_exact(edges: DataFrame, targets: list[str], cap: int = CAP) -> DataFrame:
@@ -274,6 +286,27 @@ def _laplacian(n: int, s: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.diag(a.sum(axis=1)) - a
 
 
+def _largest_strong(near: np.ndarray) -> np.ndarray:
+    """Nodes of the strong component with most nodes; of ties that of the first node."""
+
+    def closure(start: int, step: np.ndarray) -> np.ndarray:
+        seen = np.zeros(len(step), bool)
+        seen[start] = True
+        new = seen
+        while new.any():
+            new = step[new].any(axis=0) & ~seen
+            seen = seen | new
+        return seen
+
+    left, best = np.ones(len(near), bool), np.zeros(0, int)
+    while left.any():
+        start = int(np.argmax(left))
+        own = np.flatnonzero(closure(start, near) & closure(start, near.T))
+        left[own] = False
+        best = own if len(own) > len(best) else best
+    return best
+
+
 def fiedler(edges: DataFrame, cap: int = CAP) -> DataFrame:
     """(graph_id, id, value, v): smallest eigenvalue over 1e-9 of the Laplacian and its vector, first entry positive."""
 
@@ -301,13 +334,15 @@ def spectral_embedding(edges: DataFrame, k: int = 8, cap: int = CAP) -> DataFram
 
 
 def directed_laplacian(edges: DataFrame, teleport: float = 0.01, cap: int = CAP) -> DataFrame:
-    """(graph_id, id, value, v): second eigenpair of Chung's Laplacian of all nodes, with that teleport."""
+    """(graph_id, id, value, v): second eigenpair of Chung's Laplacian of the largest strong component, with that teleport."""
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         names, s, d = _index(pdf)
         n = len(names)
         p = np.zeros((n, n))
         np.add.at(p, (s, d), 1.0)
+        own = _largest_strong(p > 0)
+        names, p, n = [names[i] for i in own], p[np.ix_(own, own)], len(own)
         total = p.sum(axis=1, keepdims=True)
         p = np.where(total > 0, p / np.maximum(total, 1), 1.0 / n) * (1 - teleport) + teleport / n
         phi = np.full(n, 1.0 / n)

@@ -234,7 +234,8 @@ def user_graph_vertex_cut(spark, d):
 
 
 def user_graph_flow(spark, d):
-    return dense.min_cost_flow(user_graphs(spark, d), ["view"], ["purchase"], 2)
+    flow = dense.min_cost_flow(user_graphs(spark, d), ["view"], ["purchase"], 2)
+    return flow.withColumn("paths", F.array_join(F.transform("paths", lambda p: F.array_join(p, ">")), " "))
 
 
 def user_graph_plan(spark, d):

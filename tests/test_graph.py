@@ -1,5 +1,7 @@
 import math
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,7 +22,39 @@ def got(df, key, value):
     return {r[key]: r[value] for r in df.collect()}
 
 
-TRIANGLE_TAIL = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")]
+#: Two squares that share a corner, a pendant path of two edges on one of them, and an edge apart.
+SQUARES = [("k", "l"), ("l", "m"), ("m", "n"), ("n", "k"), ("m", "o"), ("o", "p"), ("p", "q"), ("q", "m"), ("p", "u"), ("u", "v"), ("y", "z")]
+
+
+def random_digraph(seed, n, edges):
+    """Distinct edges without loops, and a cost for each."""
+    random = np.random.default_rng(seed)
+    pairs = sorted({(f"v{a}", f"v{b}") for a, b in random.integers(0, n, (edges, 2)).tolist() if a != b})
+    return pairs, np.round(random.uniform(1, 9, len(pairs)), 2).tolist()
+
+
+def pieces(nodes, pairs):
+    """Number of connected components, counted by search."""
+    left, n = set(nodes), 0
+    while left:
+        todo, n = [left.pop()], n + 1
+        while todo:
+            v = todo.pop()
+            near = {b for a, b in pairs if a == v} | {a for a, b in pairs if b == v}
+            todo += near & left
+            left -= near
+    return n
+
+
+def paths_between(pairs, s, t, at=()):
+    """All simple paths."""
+    at = at or (s,)
+    if at[-1] == t:
+        yield at
+        return
+    for a, b in pairs:
+        if a == at[-1] and b not in at:
+            yield from paths_between(pairs, s, t, (*at, b))
 
 
 def test_undirected_takes_first_and_drops_loops(spark):
@@ -40,10 +74,10 @@ def test_valid_drops_dangling(spark):
 
 
 def test_components_and_betti(spark):
-    g = graph(spark, [*TRIANGLE_TAIL, ("x", "y")])
-    assert got(traverse.components(g.edges), "id", "component") == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "a", "x": "x", "y": "x"}
+    g = graph(spark, SQUARES)
+    assert got(traverse.components(g.edges), "id", "component") == {**dict.fromkeys("klmnopquv", "k"), "y": "y", "z": "y"}
     r = topology.betti_numbers(g.undirected()).first()
-    assert (r.n_nodes, r.n_edges, r.b0, r.b1) == (7, 6, 2, 1)
+    assert (r.n_nodes, r.n_edges, r.b0, r.b1) == (11, 11, 2, 2)
 
 
 def test_components_long_path(spark):
@@ -59,9 +93,9 @@ def test_components_of_nothing(spark):
 
 
 def test_removed_nodes(spark):
-    g = graph(spark, TRIANGLE_TAIL)
-    left = traverse.components_without(g.edges, g.nodes, ids(spark, "c"))
-    assert len(set(got(left, "id", "component").values())) == 2
+    g = graph(spark, SQUARES)
+    left = traverse.components_without(g.edges, g.nodes, ids(spark, "m", "u"))
+    assert len(set(got(left, "id", "component").values())) == 4
 
 
 def test_strong_components(spark):
@@ -87,10 +121,14 @@ def test_simple_paths_bound_nodes(spark):
     assert traverse.simple_paths(g.edges, ids(spark, "s"), ids(spark, "t"), 4).count() == 3
 
 
-def test_cheap_detour(spark):
-    g = graph(spark, [("A", "B"), ("A", "C"), ("C", "B")], cost=[10.0, 1.0, 1.0])
-    r = traverse.cheapest_paths(g.edges, ids(spark, "A"), ids(spark, "B")).first()
-    assert r.cost == 2.0 and r.nodes == ["A", "C", "B"]
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cheapest_paths_brute(spark, seed):
+    pairs, costs = random_digraph(seed, 9, 30)
+    g = graph(spark, pairs, cost=costs)
+    cost = dict(zip(pairs, costs, strict=True))
+    for r in traverse.cheapest_paths(g.edges, ids(spark, "v0", "v1"), g.nodes).collect():
+        ways = [sum(cost[e] for e in zip(p, p[1:], strict=False)) for s in ("v0", "v1") for p in paths_between(pairs, s, r.target)]
+        assert r.cost == pytest.approx(min(ways)) and sum(cost[e] for e in zip(r.nodes, r.nodes[1:], strict=False)) == pytest.approx(r.cost)
 
 
 def test_pagerank_sums_to_one(spark):
@@ -98,12 +136,33 @@ def test_pagerank_sums_to_one(spark):
     assert sum(got(centrality.pagerank(g.edges, g.nodes), "id", "rank").values()) == pytest.approx(1)
 
 
-def test_star_centralities(spark):
-    g = graph(spark, [("A", "H"), ("B", "H"), ("C", "H")])
-    h = {r.id: r for r in centrality.hits(g.edges, g.nodes).collect()}
-    assert h["H"].authority == 1 and h["A"].hub > 0
-    assert got(centrality.katz_centrality(g.edges, g.nodes), "id", "score")["H"] == 1
-    assert got(centrality.eigenvector_centrality(g.edges, g.nodes), "id", "score")["H"] == 1
+def test_centralities_against_eigenvectors(spark):
+    pairs, _ = random_digraph(4, 7, 40)
+    g = graph(spark, pairs)
+    names = sorted({v for p in pairs for v in p})
+    a = np.zeros((len(names), len(names)))
+    for x, y in pairs:
+        a[names.index(x), names.index(y)] = 1
+
+    def leading(m):
+        values, vectors = np.linalg.eig(m)
+        v = np.abs(vectors[:, int(np.argmax(values.real))].real)
+        return v / v.sum()
+
+    near = lambda df, column, want: [r[column] for r in df.orderBy("id").collect()] == pytest.approx(want.tolist(), abs=2e-6)
+    h = centrality.hits(g.edges, g.nodes, most=1000).cache()
+    assert near(h, "authority", leading(a.T @ a)) and near(h, "hub", leading(a @ a.T))
+    assert near(centrality.eigenvector_centrality(g.edges, g.nodes), "score", leading(a.T))
+    x = np.asarray([r.score for r in centrality.katz_centrality(g.edges, g.nodes).orderBy("id").collect()])
+    y = 1 + 0.1 * a.T @ x
+    assert x == pytest.approx(y / y.max(), abs=1e-5)
+
+
+def test_unsettled_vectors_raise(spark):
+    turn = graph(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c")])
+    for run in (lambda: centrality.eigenvector_centrality(turn.edges, turn.nodes, most=3), lambda: centrality.hits(turn.edges, turn.nodes, tol=1e-15, most=2), lambda: centrality.hitting_probabilities(turn.edges, turn.nodes, ids(spark, "d"), most=1)):
+        with pytest.raises(RuntimeError, match="settle"):
+            run()
 
 
 def test_betweenness_path(spark):
@@ -120,15 +179,20 @@ def test_betweenness_beyond_the_edge_list(spark):
         assert got(centrality.betweenness(g.edges, g.nodes, most_edges=0, block_rows=rows), "id", "score") == pytest.approx(want)
 
 
-def test_hitting(spark):
-    path = graph(spark, [("0", "1"), ("1", "2"), ("2", "3")])
-    p = got(centrality.hitting_probabilities(path.edges, path.nodes, ids(spark, "3")), "id", "probability")
-    assert p["0"] == p["3"] == 1
-    branch = graph(spark, [("s", "a"), ("s", "b"), ("a", "t"), ("b", "x")])
-    loop = centrality.hitting_probabilities(branch.edges, branch.nodes, ids(spark, "t"))
-    exact = dense.hitting_exact(branch.edges, ["t"])
-    assert got(loop, "id", "probability") == got(exact, "id", "probability") and got(exact, "id", "probability")["s"] == 0.5
-    assert [r.id for r in centrality.hitting_rank(loop, ids(spark, "s", "b")).collect()] == ["s"]
+@pytest.mark.parametrize("seed", [5, 6])
+def test_hitting_brute(spark, seed):
+    pairs, _ = random_digraph(seed, 8, 14)
+    g = graph(spark, pairs)
+    names = sorted({v for p in pairs for v in p})
+    goal, want = names[-1], dict.fromkeys(names, 0.0)
+    for _ in range(5000):
+        out = {v: [b for a, b in pairs if a == v] for v in names}
+        want = {v: 1.0 if v == goal else sum(want[b] for b in out[v]) / len(out[v]) if out[v] else 0.0 for v in names}
+    loop = centrality.hitting_probabilities(g.edges, g.nodes, ids(spark, goal))
+    assert got(loop, "id", "probability") == pytest.approx(want, abs=1e-5)
+    assert got(dense.hitting_exact(g.edges, [goal]), "id", "probability") == pytest.approx(want, abs=1e-8)
+    ranked = [r.probability for r in centrality.hitting_rank(loop, g.nodes).collect()]
+    assert ranked == sorted(ranked, reverse=True) and len(ranked) == sum(v > 1e-6 for v in want.values())
 
 
 def test_curvature(spark):
@@ -144,36 +208,64 @@ def test_curvature(spark):
     assert {(r.a, r.b): r.curvature for r in p2.collect()}[("b", "c")] == pytest.approx(0.0)
 
 
-def test_cut_points_and_bridges(spark):
-    g = graph(spark, TRIANGLE_TAIL)
-    assert {r.id for r in dense.articulation_points(g.edges).collect()} == {"c", "d"}
-    assert {(r.a, r.b) for r in dense.bridges(g.edges).collect()} == {("c", "d"), ("d", "e")}
-
-
-@pytest.mark.parametrize(("pairs", "s", "t", "size", "cut"), [
-    ([("0", "1"), ("1", "2"), ("2", "3"), ("3", "4")], "0", "4", 1, ["1"]),
-    ([("s", "a"), ("s", "b"), ("a", "t"), ("b", "t")], "s", "t", 2, ["a", "b"]),
-    ([("s", "t")], "s", "t", 0, []),
-])
-def test_vertex_cut(spark, pairs, s, t, size, cut):
-    r = dense.min_vertex_cut(graph(spark, pairs).edges, [s], [t]).first()
-    assert (r["size"], r["cut"]) == (size, cut)
-
-
-def test_flow(spark):
-    g = graph(spark, [("s", "a"), ("a", "t"), ("s", "b"), ("b", "t")], cost=[1.0, 1.0, 10.0, 1.0])
-    assert tuple(dense.min_cost_flow(g.edges, ["s"], ["t"], 1).first())[1:] == (1, 2.0)
-    assert tuple(dense.min_cost_flow(g.edges, ["s"], ["t"], 2).first())[1:] == (2, 13.0)
-    one = graph(spark, [("s", "x"), ("x", "t")], cost=[1.0, 1.0])
-    assert dense.min_cost_flow(one.edges, ["s"], ["t"], 2).first()["flow"] == 1
-
-
-def test_plan(spark):
-    g = graph(spark, [("s", "a"), ("s", "b"), ("a", "t"), ("b", "t")], cost=[1.0, 10.0, 1.0, 1.0])
-    assert dense.cheapest_plan(g.edges, ["s"], "t").first()["cost"] == 2
-    both = graph(spark, [("s", "a"), ("s", "b")], cost=[1.0, 1.0])
-    r = dense.cheapest_plan(both.edges, ["s"], "t", [(["a", "b"], "t", 5.0)]).first()
-    assert r["cost"] == 7 and len(r["steps"]) == 3
+@pytest.mark.parametrize("pairs", [SQUARES, random_digraph(7, 12, 15)[0], random_digraph(8, 9, 16)[0]])
+def test_cut_points_and_bridges_brute(spark, pairs):
+    g, nodes = graph(spark, pairs), {v for p in pairs for v in p}
+    base = pieces(nodes, pairs)
+    added = {v: pieces(nodes - {v}, [p for p in pairs if v not in p]) - base for v in nodes}
+    assert got(dense.articulation_points(g.edges), "id", "added") == {v: n for v, n in added.items() if n > 0}
+    simple = {tuple(sorted(p)) for p in pairs}
+    assert {(r.a, r.b) for r in dense.bridges(g.edges).collect()} == {p for p in simple if pieces(nodes, simple - {p}) > base}
+
+
+@pytest.mark.parametrize("seed", [9, 10, 11])
+def test_vertex_cut_and_flow_brute(spark, seed):
+    pairs, costs = random_digraph(seed, 8, 26)
+    pairs, costs = zip(*[(p, c) for p, c in zip(pairs, costs, strict=True) if p != ("v0", "v7")], strict=True)
+    g, cost = graph(spark, list(pairs), cost=list(costs)), dict(zip(pairs, costs, strict=True))
+    inner = sorted({v for p in pairs for v in p} - {"v0", "v7"})
+    blocks = lambda gone: not any(True for _ in paths_between([p for p in pairs if not gone & set(p)], "v0", "v7"))
+    least = next(k for k in range(len(inner) + 1) if any(blocks(set(c)) for c in combinations(inner, k)))
+    r = dense.min_vertex_cut(g.edges, ["v0"], ["v7"]).first()
+    assert r["size"] == least == len(r["cut"]) and blocks(set(r["cut"]))
+    direct = graph(spark, [*pairs, ("v0", "v7")])
+    assert tuple(dense.min_vertex_cut(direct.edges, ["v0"], ["v7"]).first())[1:] == (0, [])
+    ways = list(paths_between(pairs, "v0", "v7"))
+    price = lambda p: sum(cost[e] for e in zip(p, p[1:], strict=False))
+    for k in (1, 2):
+        sets = [c for c in combinations(ways, k) if all(not set(a[1:-1]) & set(b[1:-1]) for a, b in combinations(c, 2))]
+        f = dense.min_cost_flow(g.edges, ["v0"], ["v7"], k).first()
+        assert f["flow"] == min(k, least)
+        if sets:
+            assert f["cost"] == pytest.approx(min(sum(map(price, c)) for c in sets)) == sum(price(p) for p in f["paths"])
+            assert all(tuple(p) in ways for p in f["paths"]) and len(f["paths"]) == f["flow"]
+
+
+@pytest.mark.parametrize("seed", [12, 13])
+def test_plan_brute(spark, seed):
+    pairs, costs = random_digraph(seed, 6, 9)
+    rules = [(["v1", "v2"], "w", 2.5), (["v3", "w"], "x", 1.5), (["v4"], "x", 40.0)]
+    actions = [({a}, b, c) for (a, b), c in zip(pairs, costs, strict=True)] + [(set(n), t, c) for n, t, c in rules]
+    best = math.inf
+    for k in range(len(actions) + 1):
+        for some in combinations(actions, k):
+            held, todo = {"v0"}, list(some)
+            while ready := [x for x in todo if x[0] <= held]:
+                held |= {x[1] for x in ready}
+                todo = [x for x in todo if x not in ready]
+            if "x" in held:
+                best = min(best, sum(x[2] for x in some))
+    r = dense.cheapest_plan(graph(spark, pairs, cost=costs).edges, ["v0"], "x", rules).first()
+    assert (r["cost"] if r["cost"] is not None else math.inf) == pytest.approx(best)
+
+
+def test_directed_laplacian_of_largest_component(spark):
+    ring = [(f"r{i}", f"r{(i + 1) % 5}") for i in range(5)]
+    rows = dense.directed_laplacian(graph(spark, [*ring, ("t", "r0"), ("r2", "u"), ("p", "q"), ("q", "p")]).edges, teleport=0.0).collect()
+    assert sorted(r.id for r in rows) == [f"r{i}" for i in range(5)]
+    # On a ring of uniform walks the second value is 1 - cos(2 pi / 5).
+    whole = dense.directed_laplacian(graph(spark, ring).edges, teleport=0.0).first().value
+    assert whole == pytest.approx(1 - math.cos(2 * math.pi / 5))
 
 
 def test_fiedler_of_path(spark):
@@ -196,7 +288,7 @@ def test_path_homology(spark, pairs, restricted, full):
 
 
 def test_cycle_basis_counts(spark):
-    assert dense.cycle_basis(graph(spark, TRIANGLE_TAIL).edges).count() == 1
+    assert dense.cycle_basis(graph(spark, SQUARES).edges).count() == 2
 
 
 def test_two_paths(spark):
@@ -220,8 +312,8 @@ def test_cap_raises(spark):
 
 
 def test_undirected_keeps_no_order_of_frame(spark):
-    g = graph(spark, TRIANGLE_TAIL)
-    assert g.neighbours().where(F.col("id") == "c").first()["out_degree"] == 2
+    g = graph(spark, SQUARES)
+    assert g.neighbours().where(F.col("id") == "m").first()["out_degree"] == 2
 
 
 def test_small_graphs_across_batches(spark):
