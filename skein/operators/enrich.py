@@ -140,6 +140,12 @@ def dynamic_only(findings: DataFrame, hits: DataFrame) -> DataFrame:
     return hits.join(findings.select("line").distinct(), "line", "left_anti")
 
 
+def open_to_others(candidates: DataFrame, tokens: tuple[str, ...]) -> DataFrame:
+    """candidates(id, code) with `witness`: whether another's record can be had, as the code names none of the owner
+    checks (tokens), whatever the case. Null code names none."""
+    return candidates.withColumn("witness", ~T.any_of(F.col("code"), tuple(t.lower() for t in tokens)))
+
+
 def diff(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, state): resolved, introduced or persisting, over distinct keys; one aggregation of both sides."""
     both = before.select(*keys, F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select(*keys, F.lit(0).alias("b"), F.lit(1).alias("a")))

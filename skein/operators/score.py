@@ -8,6 +8,22 @@ from pyspark.sql import functions as F
 from ..functions.cvss import sigmoid
 
 
+def signal_fields(nodes: DataFrame, tainted: DataFrame, cyclic: DataFrame, curvature: DataFrame, confirmed: DataFrame, fiedler: DataFrame | None = None) -> DataFrame:
+    """(graph_id, id, signal, v) of every node(graph_id, id, label): what the single analyses say about it.
+
+    taint: in tainted(id); topological: in cyclic(id); geometric: the largest -curvature of its edges in
+    curvature(a, b, curvature), 0 if none is negative; formal: its label is in confirmed(label); spectral: |v| of
+    fiedler(id, v), where that is given. Each is an equi-join on keys made distinct before.
+    """
+    flag = lambda t, key, name: t.select(key).distinct().withColumn(name, F.lit(1.0))
+    bent = curvature.where("curvature < 0").select(F.explode(F.array("a", "b")).alias("id"), (-F.col("curvature")).cast("double").alias("k")).groupBy("id").agg(F.max("k").alias("geometric"))
+    rows = nodes.join(flag(tainted, "id", "taint"), "id", "left").join(flag(cyclic, "id", "topological"), "id", "left").join(bent, "id", "left").join(flag(confirmed, "label", "formal"), "label", "left")
+    names = ["taint", "topological", "geometric", "formal"]
+    if fiedler is not None:
+        rows, names = rows.join(fiedler.groupBy("id").agg(F.max(F.abs("v")).alias("spectral")), "id", "left"), [*names, "spectral"]
+    return rows.select("graph_id", "id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in names]).unpivot(["graph_id", "id"], names, "signal", "v")
+
+
 def normalise(signals: DataFrame) -> DataFrame:
     """signals(graph_id, id, signal, v) divided by the signal's maximum in the graph; all 0 if that isn't positive.
 

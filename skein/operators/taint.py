@@ -62,7 +62,7 @@ def tainted_sinks(environment: DataFrame, sinks: DataFrame, relevant: DataFrame
 
     relevant(category, position) limits which arguments of a category count.
     """
-    rows = sinks if relevant is None else sinks.join(F.broadcast(relevant), ["category", "position"], "left_semi")
+    rows = sinks if relevant is None else sinks.join(relevant, ["category", "position"], "left_semi")
     rows = rows.join(environment, "fn").withColumn("source", F.explode(F.try_element_at("env", "argument")))
     return rows.select("fn", "line", "sink", "category", "source").distinct()
 
@@ -105,8 +105,13 @@ def calls_tainted_sink(calls: DataFrame, sources: DataFrame, sinks: DataFrame) -
     return sites.join(tainted.withColumnRenamed("id", "caller"), "caller", "left_semi")
 
 
-def pattern_findings(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(file, category, line, match): every match of patterns(category, pattern) in files(file, text), by line."""
+def pattern_findings(files: DataFrame, patterns: DataFrame, most_patterns: int = 10_000) -> DataFrame:
+    """(file, category, line, match): every match of patterns(category, pattern) in files(file, text), by line.
+
+    patterns is a small table; its size is checked before every task gets it.
+    """
+    if (n := patterns.count()) > most_patterns:
+        raise ValueError(f"{n} patterns are more than the {most_patterns} that a task can try")
     lines = files.select("file", F.posexplode(F.split("text", "\n")).alias("i", "content"))
     rows = lines.join(F.broadcast(patterns), F.rlike(lines["content"], patterns["pattern"]))
     found = rows.select("file", "category", (F.col("i") + 1).alias("line"), F.explode(F.expr("regexp_extract_all(content, pattern, 0)")).alias("match"))

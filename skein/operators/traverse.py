@@ -133,8 +133,13 @@ def simple_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_n
     return found
 
 
-def tagged_paths(paths: DataFrame, tactics: DataFrame, model: DataFrame) -> DataFrame:
-    """Paths with the tactic of each relation (tactics: relation, tactic) and whether the model(id) holds the target."""
+def tagged_paths(paths: DataFrame, tactics: DataFrame, model: DataFrame, most_tactics: int = 10_000) -> DataFrame:
+    """Paths with the tactic of each relation (tactics: relation, tactic) and whether the model(id) holds the target.
+
+    tactics is a small table; its size is checked before every task gets it.
+    """
+    if (n := tactics.count()) > most_tactics:
+        raise ValueError(f"{n} relations are more than the {most_tactics} of a map")
     known = F.map_from_entries(F.collect_list(F.struct("relation", "tactic")))
     lookup = tactics.agg(known.alias("known"))
     held = model.select(F.col("id").alias("target"), F.lit(True).alias("held")).distinct()

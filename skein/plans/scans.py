@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import centrality, enrich, report, taint, traverse
+from ..operators import centrality, enrich, geometry, report, score, taint, topology, traverse
 from ..operators.iterate import ensure_checkpoint_dir
 from ..sources import readers
 from .queries import COMMERCE_SQL, _key, commerce, table, trade
@@ -276,18 +276,46 @@ def name_parts(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.leaf_name(name).alias("leaf"), T.import_name(name).alias("import_name"), T.node_id(F.lit("user"), F.col("c_name")).alias("node"), level.alias("level"), T.first_filled(F.when(k % 4 == 0, "").otherwise(F.col("c_mktsegment")), F.col("c_name")).alias("owner"))
 
 
+def node_signals(spark, d):
+    """Signals of nations in the trade graph, fused with equal weights."""
+    g = trade(spark, d)
+    labels = table(spark, d, "nation").select(_key("n", "n_nationkey").alias("id"), F.col("n_name").alias("label"), "n_regionkey")
+    nodes = g.nodes.select("graph_id", "id").join(labels.select("id", "label"), "id", "left")
+    poor = table(spark, d, "supplier").where("s_acctbal < 0").select(_key("n", "s_nationkey").alias("id"))
+    cyclic = topology.cycle_membership(g.edges, traverse.strongly_connected(g.edges, g.nodes)).where("in_cycle").select("id")
+    signals = score.signal_fields(nodes, poor, cyclic, geometry.forman_ricci(g.undirected()), labels.where("n_regionkey = 0").select("label"))
+    return signals.select("id", "signal", "v").unionByName(score.fuse(signals).select("id", F.lit("fused").alias("signal"), F.round("score", 6).alias("v")))
+
+
+def witness_counts(spark, d):
+    """Documents as code: whether one of three words is in them, by language."""
+    rows = enrich.open_to_others(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("code"), "lang"), ("license", "the", "und"))
+    return rows.groupBy("lang", "witness").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scan_gobuster, scan_ffuf, scan_amass, scan_harvester, scan_nuclei, scan_nmap, scan_expected_results, scan_scale_results, feed_records, adapter_counts, directory_edges, valid_edges, graph_counts,
         components_without_regions, entailed_regions, tagged_path_counts, hitting_ranked, tainted_call_sites, profile_roles, tainted_parameters, unsafe_orders, gate_candidates, runtime_verdicts, first_findings,
-        merged_snapshot, source_paths, categories_by_alias, remediation_order, verified_hypotheses, name_parts,
+        merged_snapshot, source_paths, categories_by_alias, remediation_order, verified_hypotheses, name_parts, node_signals, witness_counts,
     )
 }
 
 TRADE = """trade AS (SELECT DISTINCT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey)"""
 
 ORACLE_SQL = {
+    "node_signals": f"""WITH RECURSIVE {TRADE}, every AS (SELECT DISTINCT 'n' || c_nationkey AS src, 'n' || s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey),
+v AS (SELECT src AS id FROM every UNION SELECT dst FROM every), r AS (SELECT src, dst FROM every UNION SELECT r.src, e.dst FROM r JOIN every e ON e.src = r.dst),
+u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM trade), w AS (SELECT a AS id, b AS o FROM u UNION ALL SELECT b, a FROM u), g AS (SELECT id, count(*) AS d FROM w GROUP BY id),
+k AS (SELECT w.id, max(x.d + y.d - 4) AS k FROM w JOIN g x ON x.id = w.id JOIN g y ON y.id = w.o GROUP BY w.id),
+s AS (SELECT id, 'taint' AS signal, CASE WHEN id IN (SELECT 'n' || s_nationkey FROM supplier WHERE s_acctbal < 0) THEN 1.0 ELSE 0.0 END AS v FROM v
+  UNION ALL SELECT id, 'topological', CASE WHEN id IN (SELECT src FROM r WHERE src = dst) THEN 1.0 ELSE 0.0 END FROM v
+  UNION ALL SELECT id, 'geometric', CAST(greatest(coalesce(k, 0), 0) AS DOUBLE) FROM v LEFT JOIN k USING (id)
+  UNION ALL SELECT id, 'formal', CASE WHEN id IN (SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 0) THEN 1.0 ELSE 0.0 END FROM v),
+f AS (SELECT id, signal, CAST(v AS DOUBLE) AS v, max(CAST(v AS DOUBLE)) OVER (PARTITION BY signal) AS top FROM s)
+SELECT id, signal, v FROM f UNION ALL SELECT id, 'fused', round(sum(CASE WHEN top > 0 THEN v / top ELSE 0 END) / 4, 6) FROM f GROUP BY id""",
+    "witness_counts": """SELECT lang, NOT coalesce(contains(lower(text), 'license') OR contains(lower(text), 'the') OR contains(lower(text), 'und'), false) AS witness, count(*) AS n FROM documents GROUP BY ALL""",
     "scan_gobuster": """SELECT CASE WHEN o_orderkey % 3 = 0 THEN 404 ELSE 200 END AS status, count(*) AS n, CAST(sum(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 1000 END) AS BIGINT) AS size, min('/o/' || o_orderkey) AS first FROM orders GROUP BY 1""",
     "scan_ffuf": """SELECT CAST(200 + o_orderkey % 4 AS INTEGER) AS status, count(*) AS n, CAST(sum(o_orderkey * 3) AS BIGINT) AS length, min('/p/' || o_orderkey) AS first FROM orders WHERE o_orderkey % 11 <> 0 GROUP BY 1""",
     "scan_amass": """SELECT 'c' || c_custkey || '.example.org' AS host, CASE WHEN c_custkey % 5 <> 0 THEN '10.0.' || c_custkey % 256 || '.1' END AS ip FROM customer""",

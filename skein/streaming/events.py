@@ -26,8 +26,8 @@ def live_board(runs: DataFrame, phases: DataFrame) -> DataFrame:
 
 
 def sse_frame(event_id: Column, payload: Column) -> Column:
-    """A server-sent event: id and data lines and an empty one."""
-    return F.concat(F.lit("id: "), event_id.cast("string"), F.lit("\ndata: "), payload, F.lit("\n\n"))
+    """A server-sent event: an id line, a data line for each line of the payload, and an empty one."""
+    return F.concat(F.lit("id: "), event_id.cast("string"), F.lit("\ndata: "), F.regexp_replace(payload, "\r\n|\r|\n", "\ndata: "), F.lit("\n\n"))
 
 
 def publish(events: DataFrame, send: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
