@@ -65,6 +65,15 @@ def lookup(base: DataFrame, kev: DataFrame, epss: DataFrame) -> DataFrame:
     return base.join(known, "cve", "left").join(scores, "cve", "left").fillna(0.0, ["epss"]).fillna(False, ["in_kev"]).orderBy("cve")
 
 
+def intelligence(asked: DataFrame, base: DataFrame, kev: DataFrame, epss: DataFrame) -> DataFrame:
+    """The record of each id of asked(cve), whatever its case: base's fields, whether and since when it is exploited,
+    its score. An unknown id has a row of its own with what the other tables say."""
+    ids = asked.where("cve IS NOT NULL").select(F.upper("cve").alias("cve")).distinct()
+    seen = kev.select("cve", F.lit(True).alias("in_kev"), F.coalesce("date_added", F.lit("")).alias("kev_date_added"), F.coalesce("ransomware_campaign", F.lit(False)).alias("kev_ransomware"))
+    rows = ids.join(base, "cve", "left").join(seen, "cve", "left").join(epss.select("cve", "epss"), "cve", "left")
+    return rows.fillna(False, ["in_kev"]).fillna(0.0, ["epss"])
+
+
 def mentions(texts: DataFrame, terms: DataFrame, words: str = r"[^\p{L}\p{N}_-]+") -> DataFrame:
     """(id, term) of single-word terms(term) that texts(id, text) hold as a word: an equi-join, no nested loop."""
     split = texts.select("id", F.explode(F.array_distinct(F.split(F.lower("text"), words))).alias("term"))
@@ -129,9 +138,16 @@ def with_category(rows: DataFrame, categories: DataFrame, fallback: str = "gener
 
 
 def triangulate(findings: DataFrame, hits: DataFrame) -> DataFrame:
-    """findings(id, line, ...) with a verdict from runtime hits(line, pos, argument): confirmed, hit or unexecuted."""
-    usable = F.when(F.length("argument") > 0, F.col("argument"))
-    agg = hits.groupBy("line").agg(F.min_by("argument", F.when(usable.isNotNull(), F.col("pos"))).alias("witness"), F.count(F.lit(1)).alias("n_hits"))
+    """findings(id, line, ...) with a verdict from runtime hits(line, pos, argument or arguments): confirmed, hit or unexecuted.
+
+    The witness is the longest usable argument of the first hit that has one, of equal ones the first; a text that only
+    names an object's address isn't usable.
+    """
+    values = F.col("arguments") if "arguments" in hits.columns else F.array("argument")
+    usable = F.filter(values, lambda v: (F.length(v) > 0) & ~(v.startswith("<") & v.contains(" object at ")))
+    longest = F.aggregate(usable, F.lit(""), lambda best, v: F.when(F.length(v) > F.length(best), v).otherwise(best))
+    rows = hits.select("line", "pos", longest.alias("argument"))
+    agg = rows.groupBy("line").agg(F.min_by("argument", F.when(F.length("argument") > 0, F.col("pos"))).alias("witness"), F.count(F.lit(1)).alias("n_hits"))
     verdict = F.when(F.length("witness") > 0, "confirmed").when(F.col("n_hits") > 0, "hit").otherwise("unexecuted")
     return findings.join(agg, "line", "left").withColumn("verdict", verdict).fillna(0, ["n_hits"])
 

@@ -80,16 +80,16 @@ def positions(rows: DataFrame, order: list[Column], parts: int | None = None) ->
     """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(parts, *order).withColumn("_dealt", F.spark_partition_id())
     from .iterate import cut
 
     dealt = cut(dealt)
-    w = W.partitionBy("part").orderBy(*order)
+    w = W.partitionBy("_dealt").orderBy(*order)
     local = dealt.withColumn("position", F.row_number().over(w)).withColumn("hits", F.sum("relevant").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    totals = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("relevant").alias("k"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    base = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("bn"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("bk"))
-    return local.join(F.broadcast(base), "part").withColumns({"position": F.col("position") + F.col("bn"), "hits": F.col("hits") + F.col("bk")}).drop("part", "bn", "bk")
+    totals = dealt.groupBy("_dealt").agg(F.count(F.lit(1)).alias("n"), F.sum("relevant").alias("k"))
+    before = W.orderBy("_dealt").rowsBetween(W.unboundedPreceding, -1)
+    base = totals.select("_dealt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_bn"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("_bk"))
+    return local.join(F.broadcast(base), "_dealt").withColumns({"position": F.col("position") + F.col("_bn"), "hits": F.col("hits") + F.col("_bk")}).drop("_dealt", "_bn", "_bk")
 
 
 def pooled(rows: DataFrame, order: list[Column], at: tuple[int, ...] = (10, 50, 100), recall: float = 0.9) -> DataFrame:
@@ -112,7 +112,11 @@ def auc(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     Rows are counted by score first, so ties and hot scores are one row each before any order.
     """
     by = by or []
-    counts = rows.groupBy(*by, "score").agg(F.sum("relevant").alias("p"), F.count(F.lit(1)).alias("n"))
+    return _auc_of_counts(rows.groupBy(*by, "score").agg(F.sum("relevant").alias("p"), F.count(F.lit(1)).alias("n")), by)
+
+
+def _auc_of_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(by, auc) of (by, score, p, n): how many of the n rows of a score are relevant."""
     w = W.partitionBy(*by).orderBy("score")
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     mid = F.col("p") * (F.col("before") + (F.col("n") + 1) / 2)
@@ -178,17 +182,58 @@ def poisson_bootstrap(rows: DataFrame, resamples: int = 200, seed: int = 7) -> D
 
 
 def confusion_interval(rows: DataFrame, resamples: int = 2000, seed: int = 7) -> DataFrame:
-    """One row: 95 % bootstrap limits of precision and recall; rows(id, truth, flagged) are counted by outcome first."""
-    drawn = poisson_bootstrap(rows, resamples, seed)
-    w = F.col("weight")
-    s = drawn.groupBy("replicate").agg(
-        F.sum(F.when(F.col("truth") & F.col("flagged"), w).otherwise(0)).alias("tp"), F.sum(F.when(F.col("flagged"), w).otherwise(0)).alias("flags"),
-        F.sum(F.when(F.col("truth"), w).otherwise(0)).alias("truths"),
-    )
+    """One row: 95 % bootstrap limits of precision and recall of rows(truth, flagged).
+
+    Rows are counted by outcome first; each of the at most four outcomes then draws its Poisson weight a replicate.
+    """
+    import numpy as np
+    import pandas as pd
+
+    counts = rows.groupBy("truth", "flagged").agg(F.count(F.lit(1)).alias("k")).where("truth IS NOT NULL AND flagged IS NOT NULL")
+
+    def draw(batches):
+        for batch in batches:
+            for truth, flagged, k in zip(batch["truth"], batch["flagged"], batch["k"], strict=True):
+                random = np.random.default_rng([seed, int(truth), int(flagged)])
+                yield pd.DataFrame({"replicate": np.arange(resamples), "truth": truth, "flagged": flagged, "weight": random.poisson(k, resamples)})
+
+    drawn = counts.mapInPandas(draw, "replicate long, truth boolean, flagged boolean, weight long")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("weight"))), F.lit(0))
+    s = drawn.groupBy("replicate").agg(total(F.col("truth") & F.col("flagged")).alias("tp"), total(F.col("flagged")).alias("flags"), total(F.col("truth")).alias("truths"))
     s = s.select(_share(F.col("tp"), F.col("flags"), 0.0).alias("p"), _share(F.col("tp"), F.col("truths"), 0.0).alias("r"))
     return s.agg(*[F.percentile(c, q).alias(f"{n}_{e}") for c, n in (("p", "precision"), ("r", "recall")) for q, e in ((0.025, "low"), (0.975, "high"))])
 
 
+def auc_intervals(rows: DataFrame, by: list[str], resamples: int = 200, seed: int = 7) -> DataFrame:
+    """(by, auc, low, high): the AUC of each group and its 95 % bootstrap limits.
+
+    rows(by, score, relevant) are counted by score and class first, so a draw costs a row a distinct score.
+    """
+    import numpy as np
+    import pandas as pd
+
+    counts = rows.groupBy(*by, "score", "relevant").agg(F.count(F.lit(1)).alias("k"))
+    schema = ", ".join(f"`{c}` {counts.schema[c].dataType.simpleString()}" for c in [*by, "score"])
+
+    def draw(batches):
+        for batch in batches:
+            keys = pd.util.hash_pandas_object(batch[[*by, "score", "relevant"]].astype(str), index=False).to_numpy()
+            drawn = np.stack([np.random.default_rng([seed, int(h)]).poisson(k, resamples) for h, k in zip(keys, batch["k"], strict=True)]) if len(batch) else np.zeros((0, resamples), int)
+            for i in range(resamples):
+                some = drawn[:, i] > 0
+                out = batch.loc[some, [*by, "score"]].copy()
+                out["replicate"] = i
+                out["n"] = drawn[some, i]
+                out["p"] = out["n"] * (batch.loc[some, "relevant"].to_numpy() == 1)
+                yield out
+
+    drawn = counts.mapInPandas(draw, f"{schema}, replicate long, n long, p long")
+    keys = [*by, "replicate"]
+    replicates = _auc_of_counts(drawn.groupBy(*keys, "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n")), keys)
+    limits = replicates.groupBy(*by).agg(F.percentile("auc", 0.025).alias("low"), F.percentile("auc", 0.975).alias("high"))
+    return auc(rows, by).join(limits, by)
+
+
 def mean_interval(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """n, mean and half width 1.96 * population deviation / sqrt(n)."""
     return rows.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.coalesce(1.96 * F.stddev_pop(value) / F.sqrt(F.count(value)), F.lit(0.0)).alias("half_width"))
@@ -209,3 +254,11 @@ def run_agreement(left: DataFrame, right: DataFrame) -> DataFrame:
         (F.count_if(F.col("x").isNull() | F.col("y").isNull()) == 0).alias("same_keys"),
         _share(F.count_if(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.col("l").eqNullSafe(F.col("r"))), shared, 0.0).alias("label_change_rate"),
     )
+
+
+def runs_stable(runs: DataFrame) -> DataFrame:
+    """(file, n_runs, keys_same, order_same) of runs(file, run, key, confidence): whether all runs of a file found the
+    same keys, and in the same order by confidence; equal confidence is ordered by key. Runs without rows don't count."""
+    lists = runs.groupBy("file", "run").agg(F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "key"))).alias("rows"))
+    lists = lists.select("file", F.transform("rows", lambda r: r["key"]).alias("ordered"))
+    return lists.groupBy("file").agg(F.count(F.lit(1)).alias("n_runs"), (F.countDistinct(F.array_sort(F.array_distinct("ordered"))) == 1).alias("keys_same"), (F.countDistinct("ordered") == 1).alias("order_same"))

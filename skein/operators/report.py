@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import report_level
+from .iterate import cut
+from .metrics import positions
 
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
@@ -48,6 +51,32 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     return findings.groupBy(rule.alias("rule_id")).agg(F.min("category").alias("name"))
 
 
+def sarif_document(findings: DataFrame, tool: str = "skein") -> DataFrame:
+    """(pos, line): the lines of one SARIF 2.1.0 document, a rule or a result each; written in order of pos they are valid.
+
+    A document of any size is so many lines, never one value. Findings' rules have their first category by name.
+    """
+    rules = sarif_rules(findings).select(F.lit(1).alias("section"), F.to_json(F.struct(F.col("rule_id").alias("id"), "name")).alias("line"))
+    body = cut(rules.unionByName(sarif(findings).select(F.lit(3).alias("section"), F.col("result").alias("line"))))
+    placed = positions(body.withColumn("relevant", (F.col("section") == 1).cast("int")), [F.col("section"), F.col("line")])
+    n_rules, n = body.agg(F.coalesce(F.sum((F.col("section") == 1).cast("int")), F.lit(0)), F.count(F.lit(1))).first()
+    # The head is line 0, what ends the rules follows them, so results come one line later.
+    first = (F.col("position") == 1) & (F.col("section") == 1) | (F.col("position") == n_rules + 1) & (F.col("section") == 3)
+    lines = placed.select((F.col("position") + F.when(F.col("section") == 3, 1).otherwise(0)).cast("long").alias("pos"), F.concat(F.when(first, "").otherwise(","), F.col("line")).alias("line"))
+    head = '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":' + json.dumps(tool) + ',"rules":['
+    frame = [(0, head), (n_rules + 1, ']}},"results":['), (n + 2, "]}]}")]
+    return lines.unionByName(findings.sparkSession.createDataFrame(frame, "pos long, line string"))
+
+
+def labelled_paths(flows: DataFrame, labels: DataFrame) -> DataFrame:
+    """flows(graph_id, flow, cost, paths) as (graph_id, flow, cost, path, steps): each path with labels(graph_id, id, label)
+    in place of ids that have one."""
+    steps = flows.select("graph_id", "flow", "cost", F.posexplode("paths").alias("path", "ids")).select("graph_id", "flow", "cost", "path", F.posexplode("ids").alias("pos", "id"))
+    named = steps.join(labels.groupBy("graph_id", "id").agg(F.min("label").alias("label")), ["graph_id", "id"], "left")
+    ordered = named.groupBy("graph_id", "flow", "cost", "path").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("label", "id").alias("step")))).alias("s"))
+    return ordered.select("graph_id", "flow", "cost", "path", F.col("s.step").alias("steps"))
+
+
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows of a graph as JSON lines: (graph_id, part, json). A graph of any size is a file of lines, not one value."""
     n = nodes.select("graph_id", F.lit("node").alias("part"), F.to_json(F.struct(*[c for c in nodes.columns if c != "graph_id"])).alias("json"))

@@ -193,7 +193,7 @@ def cheapest_path_cost(spark, d):
 
 
 def ollivier_curvature(spark, d):
-    return geometry.ollivier_ricci(PropertyGraph.of_edges(transitions(spark, d).select(F.concat_ws(":", "user_id", "src").alias("src"), F.concat_ws(":", "user_id", "dst").alias("dst"))).undirected().select("a", "b"), reg=0.05, iterations=50).select("a", "b", F.round("curvature", 6).alias("curvature"))
+    return geometry.ollivier_ricci(PropertyGraph.of_edges(transitions(spark, d).select(F.concat_ws(":", "user_id", "src").alias("src"), F.concat_ws(":", "user_id", "dst").alias("dst"))).undirected().select("a", "b"), reg=0.05).select("a", "b", F.round("curvature", 6).alias("curvature"))
 
 
 def mapper_nerve(spark, d):
@@ -302,11 +302,11 @@ def permutation_test(spark, d):
     ranks = candidates(spark, d)
     by_key = metrics.rank_of_target(metrics.ranked(table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderstatus").alias("category"), F.lit("P").alias("target_category"), "o_orderkey"), [F.col("o_orderkey")]))
     pairs = ranks.select("case_id", (1 / F.col("rank")).alias("a")).join(by_key.select("case_id", (1 / F.col("rank")).alias("b")), "case_id")
-    return metrics.paired_permutation(pairs, iterations=2000, resamples=500)
+    return metrics.paired_permutation(pairs)
 
 
 def precision_interval(spark, d):
-    return metrics.confusion_interval(quality_rows(spark, d).withColumnRenamed("doc_id", "id"), resamples=100)
+    return metrics.confusion_interval(quality_rows(spark, d))
 
 
 def customer_signals(spark, d) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -188,6 +189,30 @@ def scale_results(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("kernel", F.col("edges").try_cast("long").alias("edges"), F.col("nodes").try_cast("long").alias("nodes"), F.col("ms").try_cast("double").alias("ms")).where("edges IS NOT NULL AND nodes IS NOT NULL AND ms IS NOT NULL")
 
 
+def _if_there(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """Records of a JSON file, a list or lines; none if there is no such file."""
+    try:
+        return spark.read.schema(schema).option("multiLine", not lines).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def vulnerability_snapshot(spark: SparkSession, folder: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Records, exploited ones, exploit scores and products of a folder's cves, kev, epss and products.json.
+
+    A missing file is an empty table. Records without an id are dropped, ids are upper case; of several with one id any
+    one stays. lines reads JSON lines, which splits large files; a list is read whole.
+    """
+    read = lambda name, schema: _if_there(spark, f"{folder}/{name}.json", schema, lines)
+    one = lambda rows: rows.where("cve IS NOT NULL").withColumn("cve", F.upper("cve")).dropDuplicates(["cve"])
+    base = one(read("cves", "cve string, title string, score double, cwe array<string>, description string"))
+    kev = one(read("kev", "cve string, date_added string, ransomware_campaign boolean"))
+    epss = one(read("epss", "cve string, epss double")).fillna(0.0, ["epss"])
+    return base, kev, epss, read("products", "product string, aliases array<string>, cves array<string>")
+
+
 def adapter(path: Column, text: Column) -> Column:
     """The reader that suits a file: by suffix, JSON by its keys."""
     low = F.lower(path)
