@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_join, exact_dedup, html_text, langid, near_join, packing, quality, sentencepiece_codec, toxicity, warc
+from . import collocations, embedding_join, exact_dedup, fill_in_middle, html_text, langid, near_join, packing, quality, sentencepiece_codec, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+        digest(fill_in_middle.restore(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_quality, op3_embedding_dedup, op4_packing, op5_html_text, op6_language, op7_warc, op8_near_join, op9_toxicity, op10_exact_dedup, pipeline)
+    for f in (op1_sentencepiece, op2_quality, op3_embedding_dedup, op4_packing, op5_html_text, op6_language, op7_warc, op8_near_join, op9_toxicity, op10_exact_dedup, op11_fill_in_middle, op12_token_counts, op13_collocations, pipeline)
 }
 
 #: Characters that text is split at, and those that words lose at their ends.
@@ -145,5 +162,49 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
   doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n
+""",
+    "op11_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+u AS (
+  SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+    CAST('0x' || h[17:24] AS BIGINT) % 100 AS z, CAST('0x' || h[25:32] AS BIGINT) % 100 AS w FROM d
+),
+f AS (
+  SELECT doc_id, t, n, least(x, y) AS p, greatest(x, y) AS q,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR z >= 90 THEN 'plain' WHEN w < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+),
+parts AS (SELECT *, substring(t, 1, p) AS a, substring(t, p + 1, q - p) AS b, substring(t, q + 1) AS c FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256
+FROM parts
+""",
+    "op13_collocations": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+    string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents
+),
+p AS (SELECT row, lang, unnest(pieces) AS piece, unnest(range(len(pieces))) AS k FROM d),
+w AS (SELECT lang, row, k, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p),
+occ AS (SELECT lang, row, k, unnest(words) AS w, unnest(range(len(words))) AS i FROM w),
+one AS (SELECT lang, w, count(*) AS f FROM occ GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM one GROUP BY lang),
+two AS (SELECT a.lang, a.w AS w1, b.w AS w2, count(*) AS f FROM occ a JOIN occ b ON a.row = b.row AND a.k = b.k AND a.i + 1 = b.i GROUP BY ALL HAVING count(*) >= 10),
+three AS (
+  SELECT a.lang, a.w AS w1, b.w AS w2, c.w AS w3, count(*) AS f FROM occ a JOIN occ b ON a.row = b.row AND a.k = b.k AND a.i + 1 = b.i
+  JOIN occ c ON a.row = c.row AND a.k = c.k AND a.i + 2 = c.i GROUP BY ALL HAVING count(*) >= 10
+),
+cuts AS (
+  SELECT t.lang, w1 || ' ' || w2 AS phrase, t.f AS a, 1 AS k, x.f AS l, y.f AS r FROM two t JOIN one x ON x.lang = t.lang AND x.w = w1 JOIN one y ON y.lang = t.lang AND y.w = w2
+  WHERE NOT EXISTS (SELECT 1 FROM three g WHERE g.lang = t.lang AND g.w1 = t.w1 AND g.w2 = t.w2 AND 100 * g.f >= 50 * t.f)
+    AND NOT EXISTS (SELECT 1 FROM three g WHERE g.lang = t.lang AND g.w2 = t.w1 AND g.w3 = t.w2 AND 100 * g.f >= 50 * t.f)
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || w3, t.f, 1, x.f, y.f FROM three t JOIN one x ON x.lang = t.lang AND x.w = t.w1 JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || w3, t.f, 2, x.f, y.f FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2 JOIN one y ON y.lang = t.lang AND y.w = t.w3
+),
+scored AS (SELECT *, CAST((1000000::HUGEINT * a * a) // (l::HUGEINT * r) AS BIGINT) AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """,
 }

@@ -152,3 +152,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
         h *= np.uint64(0xC4CEB9FE1A85EC53)
         h ^= h >> np.uint64(33)
     return h
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df, written, with the place of each row in that order, from 0, as column name.
+
+    A range sort deals the rows out; the sizes of its partitions, a row each, give every partition its base.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt = saved(dealt.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r[0], r[1]) for r in dealt.groupBy(part.alias("p")).count().collect())
+    base, total = {}, 0
+    for p, n in sizes:
+        base[p], total = total, total + n
+    bases = F.array(*[F.lit(base.get(p, 0)) for p in range(max(base, default=0) + 1)])
+    return dealt.withColumn(name, (F.element_at(bases, part.cast("int") + 1) + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_at")
