@@ -140,13 +140,13 @@ def count_tokens(docs: DataFrame, model: str, limit: int = LIMIT, chunk: int = C
         for batch in batches:
             for part in slices(batch):
                 text = text_of(part)
-                huge = pc.greater(pc.utf8_length(text), chunk)
-                none = pa.scalar(None, pa.string())
-                n = list(map(len, sp.encode(pc.if_else(huge, "", text).to_pylist(), num_threads=1)))
-                counts = pc.if_else(huge, pa.scalar(None, pa.int64()), pa.array(n, pa.int64()))
+                huge = np.asarray(pc.greater(pc.utf8_length(text), chunk))
+                whole = text.take(pa.array(np.arange(len(text)), mask=~huge))
+                n = list(map(len, sp.encode(["" if h else t for h, t in zip(huge.tolist(), text.to_pylist(), strict=True)], num_threads=1)))
+                counts = pa.array(n, pa.int64(), mask=huge)
                 keys = pa.array(np.arange(key, key + part.num_rows))
                 key += part.num_rows
-                yield pa.RecordBatch.from_arrays([keys, part.column(0), pc.cast(pc.binary_length(text), pa.int64()), counts, pc.if_else(huge, text, none)], names=["key", id_col, "n_bytes", "n", "text"])
+                yield pa.RecordBatch.from_arrays([keys, part.column(0), pc.cast(pc.binary_length(text), pa.int64()), counts, whole], names=["key", id_col, "n_bytes", "n", "text"])
 
     source = docs.select(docs[id_col].alias(id_col), docs[text_col].cast("string").alias("text"))
     # Written once: the rows' keys and the texts of huge documents stay the same whoever is lost.
