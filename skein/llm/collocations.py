@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import numbered, saved, slices, text_of
+from .shared import numbered, offsets_of, saved, slices, text_of
 
 #: A phrase has so many words at most and occurs so often at least.
 LONGEST, LEAST = 3, 10
@@ -31,6 +31,10 @@ SHIPPED = 2_000_000
 SLICE = 8 << 20
 #: Rows of a language that one task orders at most, unless the first ones of all parts are more.
 ORDERED = 200_000
+#: Words of a block, from which the next text begins another, and words of the blocks that a step of a task takes.
+BLOCK_WORDS, BLOCKS_AT_ONCE = 1 << 14, 1 << 19
+#: Bytes of a row group of a relation: what the reader has in memory at once.
+ROW_GROUP = 4 << 20
 WORD, WHITE, BREAK = 0, 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[[9, 32]] = WHITE
@@ -62,14 +66,14 @@ def words_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return row, at, words
 
 
-def coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """Of a slice (lang, text): positions, a code for each word of each language, and for each code language and word."""
+def coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Of a slice (lang, text): row and position of each word, a code for it in its language, and for each code language and word."""
     row, at, words = words_of(text_of(part))
     lang = pc.fill_null(part.column(0), "und").dictionary_encode()
     words = words.dictionary_encode()
     both = np.asarray(lang.indices, dtype=np.int64)[row] * max(1, len(words.dictionary)) + np.asarray(words.indices, dtype=np.int64)
     found, codes = np.unique(both, return_inverse=True)
-    return at, codes, lang.dictionary.take(pa.array(found // max(1, len(words.dictionary)))), words.dictionary.take(pa.array(found % max(1, len(words.dictionary))))
+    return row, at, codes, lang.dictionary.take(pa.array(found // max(1, len(words.dictionary)))), words.dictionary.take(pa.array(found % max(1, len(words.dictionary))))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -78,32 +82,46 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, most=SLICE):
-                _, codes, lang, word = coded(part)
+                _, _, codes, lang, word = coded(part)
                 yield pa.RecordBatch.from_arrays([lang.cast(pa.string()), word.cast(pa.string()), pa.array(np.bincount(codes, minlength=len(word)))], names=["lang", "word", "n"])
 
     return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
 
 
-#: A block of a relation: the steps from one position to the next, and what stands there.
-BLOCK = "step array<int>, id array<bigint>"
+def relation_type(ids: int) -> str:
+    """Columns of a relation in blocks of whole texts, a row each: steps from one position to the next, and what stands there."""
+    return f"step array<int>, id array<{'int' if ids < 1 << 31 else 'bigint'}>"
 
 
-def _block(at: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """One row. Positions are kept as steps, which are small, but for very wide gaps, which stay gaps."""
-    step = np.minimum(np.diff(at, prepend=at[:1] - 1), 2).astype(np.int32)
-    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
-    return pa.RecordBatch.from_arrays([one(step), one(ids.astype(np.int64))], names=["step", "id"])
+def _rows(at: np.ndarray, ids: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+    """Blocks, ids[offsets[i]:offsets[i + 1]] each. Gaps of any width and the first step of a block are a step of 2."""
+    step = np.minimum(np.diff(at, prepend=at[:1] - 2), 2).astype(np.int32)
+    step[offsets[:-1][offsets[:-1] < len(step)]] = 2
+    ends = pa.array(offsets.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(step), pa.array(ids).cast(kind))]
+    return pa.RecordBatch.from_arrays(lists, names=["step", "id"])
+
+
+def _id_kind(schema: str) -> pa.DataType:
+    return pa.int64() if "bigint" in schema else pa.int32()
 
 
 def merge_join(step: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of a sorted block that meet the row at the next position: index of the left row, its id and the right one's."""
+    """Rows of sorted blocks that meet the row at the next position: index of the left row, its id and the right one's."""
     left = np.flatnonzero(step[1:] == 1)
     return left, ids[left], ids[left + 1]
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for i in range(batch.num_rows):
-        yield np.asarray(batch.column(0)[i].values, dtype=np.int64), np.asarray(batch.column(1)[i].values, dtype=np.int64)
+def _blocks(batch: pa.RecordBatch, most: int = BLOCKS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Steps, ids and offsets of some blocks, one after another."""
+    offsets = offsets_of(batch.column(0))
+    step, ids = (batch.column(i).flatten() for i in (0, 1))
+    low = 0
+    while low < batch.num_rows:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + most, "right")) - 1)
+        a, b = int(offsets[low]), int(offsets[high])
+        yield np.asarray(step[a:b]), np.asarray(ids[a:b], dtype=np.int64), offsets[low : high + 1] - a
+        low = high
 
 
 def _counted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,10 +138,8 @@ def group_counts(relation: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            met = [merge_join(*b)[1:] for b in _blocks(batch)]
-            for some in np.array_split(np.arange(len(met)), max(1, sum(len(x) for x, _ in met) >> 22)):
-                left, right = (np.concatenate([np.zeros(0, np.int64), *(met[i][k] for i in some)]) for k in (0, 1))
-                left, right, n = _counted(left, right)
+            for block in _blocks(batch):
+                left, right, n = _counted(*merge_join(*block[:2])[1:])
                 yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n)], names=["left", "right", "n"])
 
     return relation.mapInArrow(run, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("f"))
@@ -131,7 +147,8 @@ def group_counts(relation: DataFrame) -> DataFrame:
 
 def first_relation(docs: DataFrame, words: DataFrame, shipped: int) -> DataFrame:
     """R_1 of texts (lang, text): occurrences of the frequent words (id, lang, word)."""
-    if words.count() <= shipped:
+    schema = relation_type(n := words.count())
+    if n <= shipped:
         known: dict[str, tuple[pa.Array, np.ndarray]] = {}
         table = words.select("lang", "word", "id").toArrow().combine_chunks()
         for lang in pc.unique(table["lang"]).to_pylist():
@@ -142,7 +159,7 @@ def first_relation(docs: DataFrame, words: DataFrame, shipped: int) -> DataFrame
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part in slices(batch, most=SLICE):
-                    at, codes, langs, word = coded(part)
+                    row, at, codes, langs, word = coded(part)
                     ids = np.full(len(word), -1, np.int64)
                     for lang in pc.unique(langs).to_pylist():
                         if lang in sent.value:
@@ -151,20 +168,30 @@ def first_relation(docs: DataFrame, words: DataFrame, shipped: int) -> DataFrame
                             found = np.asarray(pc.fill_null(pc.index_in(word.take(pa.array(own)), there), -1), dtype=np.int64)
                             ids[own] = np.where(found >= 0, numbers[found], -1)
                     ids = ids[codes]
-                    yield _block(at[ids >= 0], ids[ids >= 0])
+                    there = ids >= 0
+                    yield _rows(at[there], ids[there], _block_offsets(row[there]), _id_kind(schema))
 
-        return docs.mapInArrow(run, BLOCK)
+        return docs.mapInArrow(run, schema)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, most=SLICE):
-                at, codes, lang, word = coded(part)
+                _, at, codes, lang, word = coded(part)
                 yield _places(block, codes, at, len(word), lang=lang.cast(pa.string()), word=word.cast(pa.string()))
                 block += 1
 
     rows = saved(docs.mapInArrow(listed, "block long, at array<bigint>, lang string, word string"), "word-places")
-    return regrouped(rows.join(words.select("lang", "word", "id"), ["lang", "word"]))
+    return regrouped(rows.join(words.select("lang", "word", "id"), ["lang", "word"]), schema)
+
+
+def _block_offsets(row: np.ndarray) -> np.ndarray:
+    """Where blocks begin and end among words of these rows: at the first row that begins BLOCK_WORDS or more later."""
+    begins = np.flatnonzero(np.diff(row, prepend=-1))
+    cuts = [0]
+    while (k := int(np.searchsorted(begins, cuts[-1] + BLOCK_WORDS))) < len(begins):
+        cuts.append(int(begins[k]))
+    return np.asarray([*cuts, len(row)])
 
 
 def _places(block: int, codes: np.ndarray, at: np.ndarray, n: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -175,7 +202,7 @@ def _places(block: int, codes: np.ndarray, at: np.ndarray, n: int, **columns: pa
     return pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), places, *columns.values()], names=["block", "at", *columns])
 
 
-def regrouped(rows: DataFrame) -> DataFrame:
+def regrouped(rows: DataFrame, schema: str) -> DataFrame:
     """A relation in blocks again from (block, at array, id): a block holds one slice of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,14 +212,15 @@ def regrouped(rows: DataFrame) -> DataFrame:
                 at = np.asarray(lists.flatten(), dtype=np.int64)
                 ids = np.repeat(np.asarray(r.values.field(1), dtype=np.int64), np.asarray(pc.list_value_length(lists), dtype=np.int64))
                 order = np.argsort(at)
-                yield _block(at[order], ids[order])
+                yield _rows(at[order], ids[order], np.asarray([0, len(ids)]), _id_kind(schema))
 
-    return rows.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("own")).mapInArrow(run, BLOCK)
+    return rows.groupBy("block").agg(F.collect_list(F.struct("at", "id")).alias("own")).mapInArrow(run, schema)
 
 
 def next_relation(relation: DataFrame, groups: DataFrame, shipped: int) -> DataFrame:
     """R_{k+1}: occurrences of the frequent groups (id, left, right) in the self-join of R_k."""
-    if groups.count() <= shipped:
+    schema = relation_type(n := groups.count())
+    if n <= shipped:
         table = groups.select("left", "right", "id").toArrow()
         left, right, ids = (np.asarray(table[c], dtype=np.int64) for c in ("left", "right", "id"))
         order = np.lexsort((right, left))
@@ -204,27 +232,27 @@ def next_relation(relation: DataFrame, groups: DataFrame, shipped: int) -> DataF
             span = int(right.max(initial=0)) + 1
             keys = np.searchsorted(leads, left) * span + right
             for batch in batches:
-                for step, own in _blocks(batch):
+                for step, own, offsets in _blocks(batch):
                     index, a, b = merge_join(step, own)
                     lead = np.minimum(np.searchsorted(leads, a), max(0, len(leads) - 1))
                     wanted = np.where((leads[lead] == a) & (b < span), lead * span + b, -1) if len(leads) else np.full(len(a), -1)
                     place = np.minimum(np.searchsorted(keys, wanted), max(0, len(keys) - 1))
                     hit = keys[place] == wanted if len(keys) else np.zeros(len(a), bool)
-                    yield _block(np.cumsum(step)[index[hit]], ids[place[hit]])
+                    yield _rows(np.cumsum(step)[index[hit]], ids[place[hit]], np.searchsorted(index[hit], offsets), _id_kind(schema))
 
-        return relation.mapInArrow(run, BLOCK)
+        return relation.mapInArrow(run, schema)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for step, own in _blocks(batch):
+            for step, own, _ in _blocks(batch):
                 index, a, b = merge_join(step, own)
                 pairs, codes = np.unique(np.stack([a, b]), axis=1, return_inverse=True)
                 yield _places(block, codes.ravel(), np.cumsum(step)[index], pairs.shape[1], left=pa.array(pairs[0]), right=pa.array(pairs[1]))
                 block += 1
 
     rows = saved(relation.mapInArrow(listed, "block long, at array<bigint>, left long, right long"), "group-places")
-    return regrouped(rows.join(groups.select("left", "right", "id"), ["left", "right"]))
+    return regrouped(rows.join(groups.select("left", "right", "id"), ["left", "right"]), schema)
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, shipped: int = SHIPPED) -> tuple[list[DataFrame], DataFrame]:
@@ -240,7 +268,7 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     found = [words.select("id", none.alias("left"), none.alias("right"), "lang", F.array("word").alias("words"), F.array("f").alias("heads"), F.array("f").alias("tails"))]
     relation = None
     for k in range(2, longest + 1):
-        relation = saved(first_relation(docs, words, shipped) if relation is None else next_relation(relation, groups, shipped), f"occurrences-{k - 1}")
+        relation = saved(first_relation(docs, words, shipped) if relation is None else next_relation(relation, groups, shipped), f"occurrences-{k - 1}", **{"parquet.block.size": ROW_GROUP})
         groups = numbered(group_counts(relation).where(F.col("f") >= least), ["left", "right"], "id")
         before = found[-1]
         left = before.select(F.col("id").alias("left"), "lang", "words", "heads")

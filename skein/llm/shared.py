@@ -35,10 +35,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: later jobs start there, whoever is lost."""
+def saved(df: DataFrame, name: str, **options: object) -> DataFrame:
+    """Writes df to the shared folder and reads it again: later jobs start there, whoever is lost. options are the writer's."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
