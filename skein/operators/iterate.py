@@ -1,11 +1,13 @@
-"""Loops of joins: a driver loop that cuts lineage with reliable checkpoints and stops on a one-row aggregate."""
+"""Loops of joins: a driver loop that cuts lineage with tables in the checkpoint folder and stops on a one-row aggregate."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -15,13 +17,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         return
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed once and written to the checkpoint folder; later plans start at that table.
+
+    A table read back has its true size and no history. A checkpointed frame keeps the estimated size and the constraints
+    of its plan: in loops that join a state with itself both grow with a power of the rounds. It is used only for
+    what Parquet can't hold (untyped nulls, names that differ in case alone).
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if "void" in df.schema.simpleString() or len({c.lower() for c in df.columns}) < len(df.columns):
+        return df.checkpoint(eager=True)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/loop-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df, computed once, with the place of each row in that order, from 0, as column name.
+
+    A range sort deals rows to partitions whose sizes, a row each, give every partition its base: no task sees all rows.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    base, total = {}, 0
+    for p, n in sorted((r[0], r[1]) for r in dealt.groupBy(part.alias("p")).count().collect()):
+        base[p], total = total, total + n
+    bases = F.array(*[F.lit(base.get(p, 0)).cast("long") for p in range(max(base, default=0) + 1)])
+    return dealt.withColumn(name, F.element_at(bases, part.cast("int") + 1) + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
 
 
 def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], settled: Callable[[DataFrame, DataFrame], bool], most: int, name: str = "loop") -> DataFrame:
