@@ -2,8 +2,8 @@
 
 Every distinct word gets a score for each language (log probability of its character trigrams); ranges of
 scripts narrow which languages a word may be of. Viterbi over a document's words with a penalty for switching
-labels spans, and the language whose spans hold most letters is the document's, if any: a text of unknown letters,
-or whose trigrams are less likely in their languages than a bound learned from training rows, has none.
+labels spans, and the language whose spans hold most letters is the document's. Apart from that it is said whether the
+text fits its languages: not if its letters are of other scripts, or its trigrams nearer to random ones than to the languages' own.
 """
 
 from __future__ import annotations
@@ -17,19 +17,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import code_points, distinct_words, held_out, in_training, mixed, saved, slices, sums, text_of, with_columns
+from .shared import code_points, distinct_words, held_out, in_training, mixed, slices, sums, text_of, with_columns
 
 TRIGRAM_BITS = 16
 #: Training documents that the model is fitted on, at most.
 SAMPLE_DOCS = 6000
 SWITCH = 6.0
 UNKNOWN = "und"
-#: Trigrams of a word that count for a document's fit at most, so that one long code doesn't decide.
-WORD_TRIGRAMS = 16
-#: A document may fit worse by so many times what 99 % of the training documents stay within, and by so many standard errors.
-SLACK, ERRORS = 3.0, 6.0
-#: Calibrated training documents below which no bound is learned.
-LEAST_CALIBRATED = 20
+#: A text fits its languages if its mean trigram lies within this share of the way from their own text to random trigrams.
+FIT_SHARE = 0.55
+#: Trigrams below which a text is too short to tell, and fits.
+LEAST_TRIGRAMS = 20
 # First code points of Unicode script ranges, each up to the next entry; 0 is for no letter script.
 SCRIPTS = (
     (0x41, "latin"), (0x2B0, ""), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "syriac"), (0x750, "arabic"),
@@ -90,8 +88,10 @@ class LanguageModel:
     scripts: np.ndarray  # script by language: whether its words may be of that language
     known: np.ndarray  # whether a script was learned for any language
     fit: np.ndarray  # trigram bin by language: log probability against the mean of the language's own text
-    slack: float = np.inf  # what a document may stay below that mean, and the spread of that for one trigram
-    spread: float = 0.0
+
+    def bound(self) -> float:
+        """How far below its languages' own text a text that fits may stay: a share of what random trigrams stay below."""
+        return FIT_SHARE * float(-self.fit.mean(axis=0).max(initial=-np.inf)) if self.languages else np.inf
 
     def word_scores(self, words: Words) -> np.ndarray:
         score = sums(self.table[words.bins], words.offsets)
@@ -99,9 +99,8 @@ class LanguageModel:
 
     def word_fits(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """By word and language the log probability of the trigrams that count, and their number."""
-        n = np.diff(words.offsets)
-        weight = np.minimum(n, WORD_TRIGRAMS) * ((words.letters > 0) & ~words.code)
-        return sums(self.fit[words.bins].astype(np.float64), words.offsets) * (weight / np.maximum(1, n))[:, None], weight
+        counts = (words.letters > 0) & ~words.code
+        return sums(self.fit[words.bins].astype(np.float64), words.offsets) * counts[:, None], np.diff(words.offsets) * counts
 
 
 def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float) -> np.ndarray:
@@ -162,8 +161,8 @@ def label_words(text: pa.Array, model: LanguageModel, switch: float) -> Labelled
     return Labelled(offsets, labels, words.letters[codes], model.known[words.script][codes], fit, trigrams)
 
 
-def model_of(languages: list[str], grams: np.ndarray, scripts: np.ndarray, mean: np.ndarray | None = None) -> LanguageModel:
-    """The model of counts by language; mean is the log probability of the languages' own text, else that of the counts themselves."""
+def model_of(languages: list[str], grams: np.ndarray, scripts: np.ndarray) -> LanguageModel:
+    """The model of counts by language."""
     # Rare bins are smoothed towards all languages' share.
     every = grams.sum(axis=1, keepdims=True) + 0.5
     every /= every.sum()
@@ -171,97 +170,66 @@ def model_of(languages: list[str], grams: np.ndarray, scripts: np.ndarray, mean:
     allowed = scripts >= 0.01 * np.maximum(1, scripts.sum(axis=0, keepdims=True))
     known = allowed.any(axis=1)
     allowed[~known] = True  # a script never learned rules nothing out
-    own = mean_of(log, grams) if mean is None else np.where(np.isnan(mean), mean_of(log, grams), mean)
+    own = (log * grams).sum(axis=0) / np.maximum(1, grams.sum(axis=0))
     return LanguageModel(languages, (log - log.mean(axis=1, keepdims=True)).astype(np.float32), allowed, known, (log - own).astype(np.float32))
 
 
-def mean_of(log: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    return (log * grams).sum(axis=0) / np.maximum(1, grams.sum(axis=0))
-
-
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, switch: float = SWITCH) -> LanguageModel:
-    """Counts trigrams by language over at most sample_docs training documents, chosen by a hash of their ids.
-
-    How well a text of the languages fits is learned from each half of these documents by the counts of the other.
-    """
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
+    """Counts trigrams by language over at most sample_docs training documents, chosen by a hash of their ids."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & in_training(F.col("doc_id")))
     ids = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int")
-    rows = saved(rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").select("lang", "text", half.alias("half")), "language-sample")
+    rows = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, int, int, int], int] = {}
+        counts: dict[tuple[str, int, int], int] = {}
         for batch in batches:
             for part in slices(batch):
-                langs, halves = (np.asarray(part.column(j).to_pylist(), dtype=object) for j in (0, 2))
-                for lang, h in sorted(set(zip(langs, halves, strict=True))):
-                    _, codes, distinct = distinct_words(text_of(part.filter(pa.array((langs == lang) & (halves == h)))))
+                langs = np.asarray(part.column(0).to_pylist(), dtype=object)
+                for lang in sorted(set(langs)):
+                    _, codes, distinct = distinct_words(text_of(part.filter(pa.array(langs == lang))))
                     words = analyse(distinct)
                     times = np.bincount(codes, minlength=len(distinct))
                     for kind, at, n in ((0, words.bins, np.repeat(times, np.diff(words.offsets))), (1, words.script, times * words.letters)):
                         total = np.bincount(at, n) if len(at) else np.zeros(0)
                         for b in np.flatnonzero(total).tolist():
-                            counts[lang, h, kind, b] = counts.get((lang, h, kind, b), 0) + int(total[b])
+                            counts[lang, kind, b] = counts.get((lang, kind, b), 0) + int(total[b])
         keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[j] for k in keys], pa.int32()) for j in (1, 2, 3)), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "half", "kind", "bin", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[j] for k in keys], pa.int32()) for j in (1, 2)), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "kind", "bin", "n"])
 
     # Languages times bins bound what comes back.
-    found = rows.mapInArrow(run, "lang string, half int, kind int, bin int, n long").groupBy("lang", "half", "kind", "bin").agg(F.sum("n").alias("n")).collect()
+    found = rows.mapInArrow(run, "lang string, kind int, bin int, n long").groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")).collect()
     languages = sorted({r["lang"] for r in found})
-    k = max(1, len(languages))
     at = {lang: i for i, lang in enumerate(languages)}
-    grams, scripts = np.zeros((2, 1 << TRIGRAM_BITS, k)), np.zeros((2, len(SCRIPT_NAMES), k))
+    grams, scripts = np.zeros((1 << TRIGRAM_BITS, max(1, len(languages)))), np.zeros((len(SCRIPT_NAMES), max(1, len(languages))))
     for r in found:
-        (scripts if r["kind"] else grams)[r["half"], r["bin"], at[r["lang"]]] = r["n"]
-    # The mean that each half's text has by the other half's counts, for languages that both halves hold.
-    both = (grams.sum(axis=1) > 0).all(axis=0)
-    halves = [model_of(languages, grams[h], scripts[h], np.zeros(k)) for h in (0, 1)]
-    mean = np.where(both, (mean_of(halves[0].fit, grams[1]) + mean_of(halves[1].fit, grams[0])) / 2, np.nan)
-    model = model_of(languages, grams.sum(axis=0), scripts.sum(axis=0), mean)
-    if not both.any():
-        return model
-    halves = [model_of(languages, grams[h], scripts[h], mean) for h in (0, 1)]
-    shared = [lang for lang, b in zip(languages, both, strict=True) if b]
-
-    def calibrate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                side = np.asarray(part.column(2))
-                for h in (0, 1):
-                    got = label_words(text_of(part.filter(pa.array(side == h))), halves[1 - h], switch)
-                    yield pa.RecordBatch.from_arrays([pa.array(got.fit), pa.array(got.trigrams, pa.int64())], names=["fit", "n"])
-
-    # sample_docs bounds what comes back.
-    seen = rows.where(F.col("lang").isin(shared)).mapInArrow(calibrate, "fit double, n long").where("n > 0").collect()
-    if len(seen) >= LEAST_CALIBRATED:
-        below, n = np.asarray([-r["fit"] for r in seen]), np.asarray([r["n"] for r in seen])
-        # Robust of both: some training rows may be foreign or noise themselves.
-        model.slack = float(SLACK * max(0.0, np.quantile(below, 0.99)))
-        model.spread = float(ERRORS * 1.4826 * np.median(np.abs(below - np.median(below)) * np.sqrt(n)))
-    return model
-
-
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", switch: float = SWITCH, lang: str = "lang_pred", score: str = "lang_score") -> DataFrame:
-    """All rows and columns of docs with a language and a score, the share of letters in that language's spans.
-
-    `und` with score 0 where the text is null or has no letter, where no language was learned, where most letters are
-    in words of scripts that were not learned, or where the text fits its languages worse than the learned bound or
-    has only codes.
+        (scripts if r["kind"] else grams)[r["bin"], at[r["lang"]]] = r["n"]
+    return model_of(languages, grams, scripts)
+
+
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", switch: float = SWITCH, lang: str = "lang_pred", score: str = "lang_score", fits: str = "lang_fits") -> DataFrame:
+    """All rows and columns of docs with a language, a score and whether the text fits its languages.
+
+    `und` with score 0 and no fit where the text is null or has no letter, or where no language was learned. Any other text
+    has the learned language whose spans hold most letters of learned scripts, or of any where there are none of these; the score
+    is those letters' share of all. A text doesn't fit if most letters are in words of scripts that were not learned, or
+    if its trigrams, where there are enough to tell, are nearer to random ones than FIT_SHARE says.
     """
-    schema = with_columns(docs, **{lang: "string", score: "double"})
-    k = max(1, len(model.languages))
+    schema = with_columns(docs, **{lang: "string", score: "double", fits: "boolean"})
+    k, bound = max(1, len(model.languages)), model.bound()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, text_col):
                 got = label_words(text_of(rows, text_col), model, switch)
-                row = np.repeat(np.arange(rows.num_rows), np.diff(got.offsets))
+                cell = np.repeat(np.arange(rows.num_rows), np.diff(got.offsets)) * k + got.labels
                 every = sums(got.letters, got.offsets)
-                total = np.bincount(row * k + got.labels, got.letters * got.known, rows.num_rows * k).reshape(rows.num_rows, k)
-                fair = (every > 0) & (got.trigrams > 0) & (2 * total.sum(axis=1) >= every) & (-got.fit <= model.slack + model.spread / np.sqrt(np.maximum(1, got.trigrams))) & bool(model.languages)
-                share = np.where(fair, total.max(axis=1) / np.maximum(1, every), 0.0)
-                names = [model.languages[b] if e else UNKNOWN for b, e in zip(total.argmax(axis=1).tolist(), fair.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string()), pa.array(share)], names=schema.names)
+                found = (every > 0) & bool(model.languages)
+                known, total = (np.bincount(cell, w, rows.num_rows * k).reshape(rows.num_rows, k) for w in (got.letters * got.known, got.letters))
+                best = np.where(known.any(axis=1), known.argmax(axis=1), total.argmax(axis=1))
+                share = np.where(found, known.max(axis=1) / np.maximum(1, every), 0.0)
+                good = found & (2 * known.sum(axis=1) >= every) & ((got.trigrams < LEAST_TRIGRAMS) | (-got.fit <= bound))
+                names = [model.languages[b] if e else UNKNOWN for b, e in zip(best.tolist(), found.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names, pa.string()), pa.array(share), pa.array(good)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -284,12 +252,12 @@ def spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, switch: float = SWITCH) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every document; other columns, whatever their names, are left out.
+    """(doc_id, held_out, lang_pred, score, fits) for every document; other columns, whatever their names, are left out.
 
     Null and empty texts and those without a letter are `und` with score 0; texts of any length are read whole, and of
     languages with equally many letters the first by name is taken. Repeated rows and ids come back as often as they
-    come; rows with a null id are not held out and teach nothing.
+    come; rows with a null id are not held out and teach nothing. An empty table gives an empty one.
     """
-    model = train(docs, sample_docs, switch)
+    model = train(docs, sample_docs)
     found = predict(docs.select("doc_id", "text"), model, switch=switch)
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_fits").alias("fits"))

@@ -373,6 +373,35 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs.where("doc_id < 0").union(docs.where("doc_id = 240"))).collect()} == {"und"}
 
 
+PROSE = {
+    "en": "The meeting was held on Tuesday morning, and although several members could not attend, the committee agreed to publish its report before the end of the month.",
+    "de": "Die Sitzung fand am Dienstagmorgen statt, und obwohl einige Mitglieder nicht teilnehmen konnten, beschloss der Ausschuss, seinen Bericht zu veröffentlichen.",
+    "fr": "La réunion a eu lieu mardi matin et, bien que plusieurs membres n'aient pas pu y assister, le comité a décidé de publier son rapport avant la fin du mois.",
+    "en2": "hello world this is a short text", "ok": "ok", "de2": "Straße schön", "en3": "A.\nAll rights reserved.", "code": "a1",
+}
+
+
+def test_every_letter_has_a_learned_language(spark):
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    texts = [*PROSE.values(), "日本語", "я помню чудное мгновенье", "ß", "x" * 5000, None, "", "123 ?!", "\n"]
+    planted = spark.createDataFrame([(10**9 + i, t, None, "s", 0) for i, t in enumerate(texts)], docs.schema)
+    got = {r.doc_id: r for r in langid.identify(docs.unionByName(planted)).collect()}
+    und = {texts[i - 10**9] for i, r in got.items() if r.lang_pred == "und"}
+    assert und == {None, "", "123 ?!", "\n"} and all(0 <= r.score <= 1 for r in got.values())
+    assert [got[10**9 + i].lang_pred for i in range(2)] == ["en", "de"]
+
+
+def test_pipeline_without_labels_or_rows(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    for t in ("documents", "labels"):
+        queries.table(spark, "/root/testdata/sf0.001", t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = queries.table(spark, "/root/testdata/sf0.001", "documents")
+    assert pipeline.quality_filter(spark, docs, str(tmp_path)).count() == docs.count()
+    assert pipeline.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), str(tmp_path)).count() == 0
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_language_stage_rejects_what_was_not_learned(spark):
     import corpus_pipeline as pipeline
 
@@ -387,7 +416,7 @@ def test_language_stage_rejects_what_was_not_learned(spark):
     polish = "litwo ojczyzno moja ty jesteś jak zdrowie ile cię trzeba cenić ten tylko się dowie kto cię stracił dziś piękność twą w całej ozdobie widzę i opisuję bo tęsknię po tobie"
     russian = "я помню чудное мгновенье передо мной явилась ты как мимолётное виденье как гений чистой красоты"
     bad = [noise, finnish, polish, russian, "日本語 テキスト", f"{by['en'][:40]} {russian}"]
-    good = [*by.values(), " ".join(by.values()), f"{by['en']} 日本語 q7Xz9kQw2vB8nM4tJ6hF3gD5sR1pLzXcVbNm"]
+    good = [*by.values(), " ".join(by.values()), f"{by['en']} 日本語 q7Xz9kQw2vB8nM4tJ6hF3gD5sR1pLzXcVbNm", *PROSE.values()]
     planted = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(bad + good)], docs.schema)
     kept = {r.doc_id for r in pipeline.language_id(spark, docs.unionByName(planted), d).collect()}
     assert len(by) == 4 and kept == {r.doc_id for r in docs.collect()} | {10**9 + i for i in range(len(bad), len(bad) + len(good))}
