@@ -1,7 +1,8 @@
 """A training corpus from documents: STAGES in order, each written as Parquet and read again.
 
-Every stage works on all rows that the one before it kept. Null texts, texts without letters and texts in
-no language that was learned go at the first stage; the duplicate stages keep exactly one row of each group,
+Every stage works on all rows that the one before it kept. Null texts, texts without letters and texts that fit
+no language that was learned go at the first stage, all of them where no document has a language to learn; without labels of
+both classes the quality stage keeps everything. Texts of any length are read whole. An empty table gives an empty one. The duplicate stages keep exactly one row of each group,
 also where ids are null or repeated. Extra columns of documents, whatever
 their names, pass through the stages unchanged and end at packing.
 """
@@ -37,15 +38,17 @@ def without(docs: DataFrame, duplicates: Callable[[DataFrame, str], DataFrame])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a language: foreign scripts, languages that were not learned and noise go, mixed text stays."""
-    lang, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
-    found = langid.predict(docs, langid.train(docs), lang=lang, score=score)
-    return found.where(F.col(lang) != langid.UNKNOWN).select(docs.columns)
+    """Keeps documents that fit a learned language: foreign scripts, languages that were not learned and noise go, mixed text stays."""
+    lang, score, fits = (free_name(docs, c) for c in ("lang_pred", "lang_score", "lang_fits"))
+    found = langid.predict(docs, langid.train(docs), lang=lang, score=score, fits=fits)
+    return found.where(F.col(fits)).select(docs.columns)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that the quality model predicts 1 for."""
+    """Keeps documents that the quality model predicts 1 for, and all where the labels teach nothing."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
+    if not any(t.any() for t in model.tables):
+        return docs
     score = free_name(docs, "score")
     return quality.score(docs, model, out=score).where(F.col(score) >= quality.THRESHOLD).select(docs.columns)
 
