@@ -22,6 +22,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path that nothing has yet, in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and written to the checkpoint folder; later plans start at that table.
 
@@ -30,10 +36,10 @@ def cut(df: DataFrame) -> DataFrame:
     what Parquet can't hold (untyped nulls, names that differ in case alone).
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     if "void" in df.schema.simpleString() or len({c.lower() for c in df.columns}) < len(df.columns):
+        ensure_checkpoint_dir(spark)
         return df.checkpoint(eager=True)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/loop-{uuid.uuid4().hex}"
+    path = new_folder(spark, "loop")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
