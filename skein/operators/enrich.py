@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .iterate import cut
+
 from ..functions import text as T
 
 LINES = 256
@@ -15,9 +17,10 @@ LINES = 256
 def enclosing(points: DataFrame, spans: DataFrame, first: bool = False, bucket: int = LINES) -> DataFrame:
     """points(file, line, ...) with the innermost span(file, lo, hi, name, pos) around each; first takes the first by pos.
 
-    An equi-join on file and line bucket, so a long file isn't one task; the range is checked on what meets.
+    An equi-join on file and line bucket, so a long file isn't one task; the range is checked on what meets. Points are
+    numbered and written first: both uses of a number see the same one.
     """
-    keys = points.withColumn("point", F.monotonically_increasing_id()) if "point" not in points.columns else points
+    keys = cut(points.withColumn("point", F.monotonically_increasing_id())) if "point" not in points.columns else points
     p = keys.withColumn("bucket", F.floor(F.col("line") / bucket))
     s = spans.select("file", "lo", "hi", "name", F.col("pos").alias("span_pos")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.greatest("hi", "lo") / bucket))))
     met = p.join(s, ["file", "bucket"]).where((F.col("line") >= F.col("lo")) & (F.col("line") <= F.col("hi")))
@@ -35,12 +38,14 @@ def gated(findings: DataFrame, spans: DataFrame, gates: DataFrame) -> DataFrame:
 def ungated_access(functions: DataFrame, sources: DataFrame, sinks: DataFrame, categories: list[str], require_source: bool = True, require_no_gate: bool = True) -> DataFrame:
     """(file, function, line, sink, category, sources): resource sinks in functions with a web source and no gate.
 
-    functions(file, name, lo, hi, gated), sources(file, line, label), sinks(file, line, sink, category).
+    functions(file, name, lo, hi, gated), sources(file, line, label), sinks(file, line, sink, category). Lines meet functions
+    by file and line bucket, so a long file isn't one task.
     """
     rows = functions.where(~F.coalesce("gated", F.lit(False))) if require_no_gate else functions
-    inside = lambda t: (rows["file"] == t["file"]) & (t["line"] >= rows["lo"]) & (t["line"] <= rows["hi"])
-    from_web = rows.join(sources, inside(sources)).groupBy(rows["file"], rows["name"], rows["lo"]).agg(F.array_sort(F.collect_list("label")).alias("sources"))
-    hit = rows.join(sinks.where(F.col("category").isin(categories)), inside(sinks)).select(rows["file"], rows["name"], rows["lo"], sinks["line"], "sink", F.when(F.col("category") == "sql", "idor").otherwise("missing_authorization").alias("category"))
+    rows = rows.select("file", "name", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / LINES), F.floor(F.greatest("hi", "lo") / LINES))).alias("bucket"))
+    inside = lambda t: rows.join(t.withColumn("bucket", F.floor(F.col("line") / LINES)), ["file", "bucket"]).where("line >= lo AND line <= hi")
+    from_web = inside(sources).groupBy("file", "name", "lo").agg(F.array_sort(F.collect_list("label")).alias("sources"))
+    hit = inside(sinks.where(F.col("category").isin(categories))).select("file", "name", "lo", "line", "sink", F.when(F.col("category") == "sql", "idor").otherwise("missing_authorization").alias("category"))
     return hit.join(from_web, ["file", "name", "lo"], "inner" if require_source else "left").drop("lo").withColumnRenamed("name", "function")
 
 

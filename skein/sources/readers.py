@@ -202,11 +202,15 @@ def _if_there(spark: SparkSession, path: str, schema: str, lines: bool) -> DataF
 def vulnerability_snapshot(spark: SparkSession, folder: str, lines: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Records, exploited ones, exploit scores and products of a folder's cves, kev, epss and products.json.
 
-    A missing file is an empty table. Records without an id are dropped, ids are upper case; of several with one id any
-    one stays. lines reads JSON lines, which splits large files; a list is read whole.
+    A missing file is an empty table. Records without an id are dropped, ids are upper case; of several with one id
+    the first by its other columns stays, nulls first. lines reads JSON lines, which splits large files; a list is read whole.
     """
     read = lambda name, schema: _if_there(spark, f"{folder}/{name}.json", schema, lines)
-    one = lambda rows: rows.where("cve IS NOT NULL").withColumn("cve", F.upper("cve")).dropDuplicates(["cve"])
+
+    def one(rows: DataFrame) -> DataFrame:
+        rest = [c for c in rows.columns if c != "cve"]
+        return rows.where("cve IS NOT NULL").groupBy(F.upper("cve").alias("cve")).agg(F.min(F.struct(*rest)).alias("first")).select("cve", "first.*")
+
     base = one(read("cves", "cve string, title string, score double, cwe array<string>, description string"))
     kev = one(read("kev", "cve string, date_added string, ransomware_campaign boolean"))
     epss = one(read("epss", "cve string, epss double")).fillna(0.0, ["epss"])

@@ -189,3 +189,29 @@ def test_json_readers(spark, tmp_path):
     assert [r.relation for r in readers.trust_graph(spark, str(tmp_path / "t.json"))[1].collect()] == ["trust"]
     s = readers.services_graph(spark.createDataFrame([("h", 1), ("gw", 2)], "ip string, port int"), "gw")
     assert s.where("relation = 'route'").count() == 2
+
+
+def test_ungated_access_brute(spark):
+    import random
+
+    rng = random.Random(7)
+    functions = [(f"f{i % 3}", f"n{i}", lo, lo + rng.randint(0, 600), rng.choice([True, False, None])) for i, lo in enumerate(rng.choices(range(900), k=30))]
+    sources = [(f"f{rng.randint(0, 2)}", rng.randint(0, 1500), rng.choice("xy")) for _ in range(25)]
+    sinks = [(f"f{rng.randint(0, 2)}", rng.randint(0, 1500), f"s{i}", rng.choice(["sql", "file", "other"])) for i in range(25)]
+    frames = [spark.createDataFrame(r, s) for r, s in ((functions, "file string, name string, lo int, hi int, gated boolean"), (sources, "file string, line int, label string"), (sinks, "file string, line int, sink string, category string"))]
+    for need in (True, False):
+        got = sorted((r.file, r.function, r.line, r.sink, r.category, tuple(r.sources or ())) for r in enrich.ungated_access(*frames, ["sql", "file"], require_source=need).collect())
+        want = []
+        for file, name, lo, hi, gated in functions:
+            own = tuple(sorted(label for f, line, label in sources if f == file and lo <= line <= hi))
+            for f, line, sink, category in sinks:
+                if not gated and f == file and lo <= line <= hi and category in ("sql", "file") and (own or not need):
+                    want.append((file, name, line, sink, "idor" if category == "sql" else "missing_authorization", own))
+        assert got == sorted(want)
+    assert enrich.ungated_access(*(f.limit(0) for f in frames), ["sql"]).count() == 0
+
+
+def test_snapshot_keeps_the_first_of_several(spark, tmp_path):
+    (tmp_path / "cves.json").write_text('[{"cve": "cve-1", "title": "b", "score": 1.0}, {"cve": "CVE-1", "title": "a", "score": 9.0}, {"cve": "CVE-1", "title": "a", "score": 2.0}, {"title": "none"}]')
+    base = readers.vulnerability_snapshot(spark, str(tmp_path))[0].collect()
+    assert [(r.cve, r.title, r.score) for r in base] == [("CVE-1", "a", 2.0)]
