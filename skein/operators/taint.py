@@ -98,6 +98,26 @@ def interprocedural(arguments: DataFrame, seeds: DataFrame, by_caller: bool = Fa
     return closure(start, links, keys, step)
 
 
+def interprocedural_contexts(arguments: DataFrame, seeds: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """(method, caller, seeds array<string>): the sets of parameters that are tainted together, by calling method.
+
+    arguments(call, caller, caller_param, method, param): one row for each argument of a call, passing what came in by
+    caller_param. seeds(method, param) are tainted at entry, those of a method together; their caller is ''. A call passes
+    on what its context taints, as one set; calls that pass nothing open no context. Sets are sorted and without repeats, so
+    a context that comes again is the same row and recursion ends. Rows with a null in method or param count for nothing.
+    """
+    known = lambda c: F.array_sort(F.collect_set(c))
+    start = seeds.where("method IS NOT NULL AND param IS NOT NULL").groupBy("method").agg(known("param").alias("seeds")).select("method", F.lit("").alias("caller"), "seeds")
+    passed = arguments.where("caller IS NOT NULL AND method IS NOT NULL AND caller_param IS NOT NULL AND param IS NOT NULL").select("call", F.col("caller").alias("from"), "caller_param", F.col("method").alias("to"), "param").distinct()
+
+    def step(frontier: DataFrame, calls: DataFrame) -> DataFrame:
+        contexts = frontier.select(F.col("method").alias("from"), "seeds").distinct()
+        met = calls.join(contexts, "from").where(F.array_contains("seeds", F.col("caller_param")))
+        return met.groupBy("from", "call", "to", F.col("seeds").alias("outer")).agg(known("param").alias("seeds")).select(F.col("to").alias("method"), F.col("from").alias("caller"), "seeds")
+
+    return closure(start, passed, ["method", "caller", "seeds"], step, most)
+
+
 def calls_tainted_sink(calls: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:
     """One row per call site of a sink(name) in a function that calls a source(name) or a function that does."""
     tainted = reaching(calls.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), sources.select(F.col("name").alias("id")))
