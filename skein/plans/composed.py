@@ -44,11 +44,16 @@ def longest_arguments(spark, d):
 
 
 def signal_auc_intervals(spark, d):
-    """AUC of each customer signal for a negative balance, and whether its bootstrap limits are around it."""
+    """AUC of each customer signal for a negative balance with its bootstrap limits; draws have no SQL."""
     poor = table(spark, d, "customer").select(_key("c", "c_custkey").alias("id"), (F.col("c_acctbal") < 0).cast("long").alias("relevant"))
     rows = customer_signals(spark, d).join(poor, "id").select("signal", F.round("v", -3).alias("score"), "relevant")
     out = metrics.auc_intervals(rows, ["signal"])
-    return out.select("signal", F.round("auc", 6).alias("auc"), ((F.col("low") <= F.col("auc")) & (F.col("auc") <= F.col("high"))).alias("inside"))
+    return out.select("signal", F.round("auc", 6).alias("auc"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+def signal_auc(spark, d):
+    """AUC of each customer signal for a negative balance."""
+    return signal_auc_intervals(spark, d).select("signal", "auc")
 
 
 def stable_segments(spark, d):
@@ -65,7 +70,7 @@ def user_graph_routes(spark, d):
     return report.labelled_paths(dense.min_cost_flow(graphs, ["view"], ["purchase"], 2), types).select("graph_id", "flow", "cost", "path", F.array_join("steps", ">").alias("steps"))
 
 
-QUERIES = {f.__name__: f for f in (persistence_bars, snapshot_lookup, sarif_lines, longest_arguments, signal_auc_intervals, stable_segments, user_graph_routes)}
+QUERIES = {f.__name__: f for f in (persistence_bars, snapshot_lookup, sarif_lines, longest_arguments, signal_auc_intervals, signal_auc, stable_segments, user_graph_routes)}
 
 
 def _iterated(columns: str, start: str, step: str, rounds: int, out: str) -> str:
@@ -98,13 +103,13 @@ UNION ALL SELECT max(r) + 1, ']}},"results":[' FROM p UNION ALL SELECT max(n) +
     "longest_arguments": """WITH h AS (SELECT l_partkey AS line, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_returnflag <> 'N' THEN 'q' || l_orderkey WHEN l_linenumber % 2 = 1 THEN l_linestatus END AS w FROM lineitem),
 a AS (SELECT line, arg_min(w, pos) FILTER (w IS NOT NULL) AS witness, count(*) AS n FROM h GROUP BY line)
 SELECT p_partkey AS id, CASE WHEN witness IS NOT NULL THEN 'confirmed' WHEN n > 0 THEN 'hit' ELSE 'unexecuted' END AS verdict, witness, coalesce(n, 0) AS n_hits FROM part LEFT JOIN a ON line = p_partkey""",
-    "signal_auc_intervals": """WITH o AS (SELECT o_custkey AS k, count(*)::DOUBLE AS orders, max(o_totalprice) AS largest FROM orders GROUP BY 1),
+    "signal_auc": """WITH o AS (SELECT o_custkey AS k, count(*)::DOUBLE AS orders, max(o_totalprice) AS largest FROM orders GROUP BY 1),
 c AS (SELECT c_acctbal < 0 AS poor, greatest(c_acctbal, 0.0) AS balance, coalesce(orders, 0.0) AS orders, coalesce(largest, 0.0) AS largest FROM customer LEFT JOIN o ON k = c_custkey),
 s AS (SELECT poor, unnest([{'signal': 'balance', 'v': balance}, {'signal': 'orders', 'v': orders}, {'signal': 'largest', 'v': largest}]) AS x FROM c),
 m AS (SELECT poor, x.signal AS signal, round(x.v, -3) AS score FROM s),
 r AS (SELECT signal, poor, rank() OVER (PARTITION BY signal ORDER BY score) + (count(*) OVER (PARTITION BY signal, score) - 1) / 2 AS mid FROM m),
 g AS (SELECT signal, count(*) FILTER (poor)::DOUBLE AS p, count(*) FILTER (NOT poor)::DOUBLE AS n, sum(CASE WHEN poor THEN mid ELSE 0 END) AS t FROM r GROUP BY signal)
-SELECT signal, round(CASE WHEN p > 0 AND n > 0 THEN (t - p * (p + 1) / 2) / (p * n) ELSE 0.5 END, 6) AS auc, true AS inside FROM g""",
+SELECT signal, round(CASE WHEN p > 0 AND n > 0 THEN (t - p * (p + 1) / 2) / (p * n) ELSE 0.5 END, 6) AS auc FROM g""",
     "stable_segments": """WITH r AS (SELECT c_mktsegment AS file, year(o_orderdate) AS run, c_nationkey AS key, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
 l AS (SELECT file, run, list(key ORDER BY key) AS keys, list(key ORDER BY n DESC, key) AS ordered FROM r GROUP BY ALL)
 SELECT file, count(*) AS n_runs, count(DISTINCT keys) = 1 AS keys_same, count(DISTINCT ordered) = 1 AS order_same FROM l GROUP BY file""",

@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 
 from skein.operators import dense, enrich, metrics, report, topology
@@ -73,3 +74,20 @@ def test_labelled_routes(spark):
     labels = spark.createDataFrame([("q", "s", "start"), ("q", "m", "mid"), ("other", "o", "no")], "graph_id string, id string, label string")
     got = report.labelled_paths(dense.min_cost_flow(edges, ["s"], ["t"], 2), labels).collect()
     assert sorted((r.flow, r.cost, r.steps) for r in got) == [(2, 6.0, ["start", "mid", "t"]), (2, 6.0, ["start", "o", "t"])]
+
+
+def test_auc_limits_against_resamples(spark):
+    """Limits of rows drawn again with numpy, as the ranks of whole samples."""
+    rng = np.random.default_rng(1)
+    relevant = rng.random(300) < 0.3
+    score = np.round(rng.normal(size=300) + relevant, 1)
+
+    def of(s, r):
+        p, n = s[r], s[~r]
+        return float(np.mean((p[:, None] > n) + 0.5 * (p[:, None] == n)))
+
+    drawn = [of(score[i], relevant[i]) for i in (rng.integers(0, 300, 300) for _ in range(2000))]
+    rows = spark.createDataFrame([("a", float(x), int(y)) for x, y in zip(score, relevant, strict=True)], "signal string, score double, relevant long")
+    got = metrics.auc_intervals(rows, ["signal"], resamples=600).first()
+    assert abs(got.auc - of(score, relevant)) < 1e-9
+    assert abs(got.low - np.quantile(drawn, 0.025)) < 0.015 and abs(got.high - np.quantile(drawn, 0.975)) < 0.015

@@ -21,7 +21,7 @@ def test_nothing_else_imports_llm():
 
 
 @pytest.mark.skipif(not SF.exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["strong_components", "user_graph_bridges", "user_graph_cuts", "run_agreement", "diff_set_ops", "edge_kind_counts", "forman_curvature_top", "components", "cost_curve", "auc_midrank", "cvss31_scores", "average_precision_pool", "scan_gobuster", "scan_ffuf", "scan_amass", "scan_harvester", "scan_nuclei", "scan_nmap", "scan_expected_results", "scan_scale_results", "feed_records", "adapter_counts", "directory_edges", "gate_candidates", "runtime_verdicts", "snapshot_lookup", "sarif_lines", "longest_arguments", "stable_segments", "user_graph_hitting", "betweenness", "unsafe_orders", "profile_roles", "merged_snapshot", "quality_logit", "stream_board", "stream_history", "stream_frames", "commerce_fiedler"])
+@pytest.mark.parametrize("name", ["strong_components", "user_graph_bridges", "user_graph_cuts", "run_agreement", "diff_set_ops", "edge_kind_counts", "forman_curvature_top", "components", "cost_curve", "auc_midrank", "cvss31_scores", "average_precision_pool", "scan_gobuster", "scan_ffuf", "scan_amass", "scan_harvester", "scan_nuclei", "scan_nmap", "scan_expected_results", "scan_scale_results", "feed_records", "adapter_counts", "directory_edges", "gate_candidates", "runtime_verdicts", "snapshot_lookup", "sarif_lines", "longest_arguments", "stable_segments", "user_graph_hitting", "betweenness", "unsafe_orders", "profile_roles", "merged_snapshot", "quality_logit", "stream_board", "stream_history", "stream_frames", "commerce_fiedler", "branch_taint", "tainted_contexts", "phrases_in_documents", "signal_auc"])
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
