@@ -116,7 +116,7 @@ def branch_environment(events: DataFrame) -> DataFrame:
     hop = roots.select("fn", F.col("to_variable").alias("from_variable"), F.col("to").alias("from"), F.col("from_variable").alias("v"), F.col("from").alias("p"))
     links = cut(rest.join(hop, ["fn", "from_variable", "from"], "left").select("fn", F.coalesce("v", "from_variable").alias("variable"), F.coalesce("p", "from").alias("at"), "to_variable", "to").distinct())
     seeds = writes.where("op = 'source'").select("fn", F.col("target").alias("variable"), "at", F.explode("tags").alias("tag")).where("tag IS NOT NULL")
-    held = closure(seeds, links, ["fn", "variable", "at", "tag"], lambda f, e: f.join(e, ["fn", "variable", "at"]).select("fn", F.col("to_variable").alias("variable"), F.col("to").alias("at"), "tag"), most=1_000_000)
+    held = closure(seeds, links, ["fn", "variable", "at", "tag"], lambda f, e: f.join(e, ["fn", "variable", "at"]).select("fn", F.col("to_variable").alias("variable"), F.col("to").alias("at"), "tag"))
     last = feeds.where(F.col("to") == (1 << 62)).select("fn", "to_variable", "to")
     through = roots.join(last, key, "left_semi").select("fn", F.col("from_variable").alias("variable"), F.col("from").alias("at"), F.col("to_variable").alias("out")).join(held, ["fn", "variable", "at"]).select("fn", F.col("out").alias("variable"), "tag")
     found = held.where(F.col("at") == (1 << 62)).select("fn", "variable", "tag").unionByName(through).distinct()

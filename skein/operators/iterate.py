@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,10 +61,10 @@ def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return dealt.withColumn(name, F.element_at(bases, part.cast("int") + 1) + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
 
 
-def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], settled: Callable[[DataFrame, DataFrame], bool], most: int, name: str = "loop") -> DataFrame:
-    """step applied to a state until settled(old, new); more than `most` rounds are an error, never a cut result."""
+def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], settled: Callable[[DataFrame, DataFrame], bool], most: int | None, name: str = "loop") -> DataFrame:
+    """step applied to a state until settled(old, new); more than `most` rounds are an error, never a cut result. None is for steps that surely settle."""
     state = cut(state)
-    for i in range(most):
+    for i in itertools.count() if most is None else range(most):
         new = cut(step(state, i))
         if settled(state, new):
             return new
@@ -70,13 +72,31 @@ def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], sett
     raise RuntimeError(f"{name} did not settle in {most} rounds")
 
 
-def closure(seeds: DataFrame, edges: DataFrame, keys: list[str], step: Callable[[DataFrame, DataFrame], DataFrame], most: int = 1000) -> DataFrame:
-    """Semi-naive least fixpoint: rows of `keys` reached from seeds; step(frontier, edges) gives the next rows."""
-    seen = cut(seeds.select(keys).distinct())
-    frontier = seen
-    for _ in range(most):
-        frontier = cut(step(frontier, edges).select(keys).distinct().join(seen, keys, "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
-    raise RuntimeError(f"the closure did not end in {most} rounds")
+class Runs:
+    """Rows kept as tables of falling size: one that is as large as that before it is merged with it."""
+
+    def __init__(self, merge: Callable[[DataFrame], DataFrame] = lambda rows: rows):
+        self.merge, self.tables, self.sizes = merge, [], []
+
+    def add(self, table: DataFrame, size: int) -> None:
+        self.tables.append(table)
+        self.sizes.append(size)
+        while len(self.sizes) > 1 and self.sizes[-1] >= self.sizes[-2]:
+            both = cut(self.merge(self.tables[-2].unionByName(self.tables[-1])))
+            self.tables[-2:], self.sizes[-2:] = [both], [both.count()]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.tables)
+
+
+def closure(seeds: DataFrame, edges: DataFrame, keys: list[str], step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Semi-naive least fixpoint: rows of `keys` reached from seeds; step(frontier, edges) gives the next rows.
+
+    It ends where step only gives rows of a finite set. Rows once found are rewritten a logarithmic number of times.
+    """
+    frontier = cut(seeds.select(keys).distinct())
+    seen = Runs()
+    while size := frontier.count():
+        seen.add(frontier, size)
+        frontier = cut(step(frontier, edges).select(keys).distinct().join(seen.all(), keys, "left_anti"))
+    return seen.all() if seen.tables else frontier

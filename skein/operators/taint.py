@@ -98,7 +98,7 @@ def interprocedural(arguments: DataFrame, seeds: DataFrame, by_caller: bool = Fa
     return closure(start, links, keys, step)
 
 
-def interprocedural_contexts(arguments: DataFrame, seeds: DataFrame, most: int = 1_000_000) -> DataFrame:
+def interprocedural_contexts(arguments: DataFrame, seeds: DataFrame) -> DataFrame:
     """(method, caller, seeds array<string>): the sets of parameters that are tainted together, by calling method.
 
     arguments(call, caller, caller_param, method, param): one row for each argument of a call, passing what came in by
@@ -115,7 +115,7 @@ def interprocedural_contexts(arguments: DataFrame, seeds: DataFrame, most: int =
         met = calls.join(contexts, "from").where(F.array_contains("seeds", F.col("caller_param")))
         return met.groupBy("from", "call", "to", F.col("seeds").alias("outer")).agg(known("param").alias("seeds")).select(F.col("to").alias("method"), F.col("from").alias("caller"), "seeds")
 
-    return closure(start, passed, ["method", "caller", "seeds"], step, most)
+    return closure(start, passed, ["method", "caller", "seeds"], step)
 
 
 def calls_tainted_sink(calls: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import closure, cut, fixpoint
+from .iterate import Runs, closure, cut, fixpoint
 
 MOST_ROUNDS = 500
 LEAST_COST = 1e-6
@@ -57,32 +57,29 @@ def entailed(edges: DataFrame, entries: DataFrame, targets: DataFrame) -> DataFr
     return targets.select("id").distinct().join(reachable(edges, entries).withColumn("r", F.lit(True)), "id", "left").select("id", F.coalesce("r", F.lit(False)).alias("entailed"))
 
 
-def hop_distances(edges: DataFrame, sources: DataFrame, directed: bool = False, most: int = MOST_ROUNDS) -> DataFrame:
-    """(source, id, hops) of every node that a source(id) reaches."""
+def hop_distances(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
+    """(source, id, hops) of every node that a source(id) reaches, a round a hop; longpath.distances is for long paths."""
     links = cut(edges.select("src", "dst").distinct() if directed else both_ways(edges))
-    seen = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops")).distinct())
-    frontier = seen
-    for hop in range(1, most + 1):
+    frontier = cut(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("hops")).distinct())
+    seen, hop = Runs(), 0
+    while size := frontier.count():
+        seen.add(frontier, size)
+        hop += 1
         near = frontier.join(links, frontier["id"] == links["src"]).select("source", F.col("dst").alias("id")).distinct()
-        frontier = cut(near.join(seen, ["source", "id"], "left_anti").withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier.select("source", "id", "hops")))
-    raise RuntimeError(f"distances did not end in {most} hops")
+        frontier = cut(near.join(seen.all(), ["source", "id"], "left_anti").select("source", "id", F.lit(hop).alias("hops")))
+    return seen.all() if seen.tables else frontier
 
 
 def strongly_connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, component): smallest id of the strongly connected component, by forward and backward colours.
 
     Each round colours nodes by the largest id that reaches them and settles those that reach their colour's
-    root in the same colour.
+    root in the same colour. Colours move an arc a round; longpath.strong_components contracts long paths first.
     """
     left = cut(nodes.select("id").distinct())
     links = cut(edges.where("src <> dst").select("src", "dst").distinct())
     found: DataFrame | None = None
-    for _ in range(MOST_ROUNDS):
-        if left.isEmpty():
-            return found if found is not None else nodes.select("id", F.col("id").alias("component"))
+    while not left.isEmpty():
         live = cut(links.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"))
 
         def colour(state: DataFrame, _: int, live: DataFrame = live) -> DataFrame:
@@ -90,14 +87,14 @@ def strongly_connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             new = state.join(near, "id", "left")
             return new.select("id", F.greatest("colour", F.coalesce("near", "colour")).alias("colour"), (F.col("near") > F.col("colour")).alias("moved"))
 
-        colours = fixpoint(left.select("id", F.col("id").alias("colour"), F.lit(True).alias("moved")), colour, lambda _, new: new.where("moved").isEmpty(), MOST_ROUNDS, "colours").select("id", "colour")
+        colours = fixpoint(left.select("id", F.col("id").alias("colour"), F.lit(True).alias("moved")), colour, lambda _, new: new.where("moved").isEmpty(), None, "colours").select("id", "colour")
         same = live.join(colours.select(F.col("id").alias("src"), F.col("colour").alias("c")), "src").join(colours.select(F.col("id").alias("dst"), F.col("colour").alias("d")), "dst").where("c = d").select("src", "dst")
         done = cut(reaching_in_colour(same, colours).withColumnRenamed("colour", "root"))
         named = done.groupBy("root").agg(F.min("id").alias("component"))
         part = cut(done.join(named, "root").select("id", "component"))
         found = part if found is None else cut(found.unionByName(part))
         left = cut(left.join(done, "id", "left_anti"))
-    raise RuntimeError("strong components did not settle")
+    return found if found is not None else nodes.select("id", F.col("id").alias("component"))
 
 
 def reaching_in_colour(edges: DataFrame, colours: DataFrame) -> DataFrame:
