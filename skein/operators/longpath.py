@@ -4,7 +4,8 @@ Distances: a node whose ways in are settled by where a path goes next (one node
 only pass, or nowhere to go) is left out; every arc follows the single arc before it, by pointer doubling, back to
 a node that stays. Chains, trees and rings, and what turns into them when others are gone, end in logarithmically many
 rounds. A frontier walks what is left, in runs that are merged when they have grown as large as the run before, so that
-what is known is rewritten a logarithmic number of times. Strong components leave out sources, sinks and chains likewise.
+what is known is rewritten a logarithmic number of times. Strong components leave out sources, sinks and chains
+likewise and merge nodes that have a single way in or out.
 Results are exact at any size and no number of rounds is an error; a core that contraction doesn't shrink (a grid)
 takes as many rounds as its longest shortest path has arcs.
 """
@@ -120,16 +121,46 @@ def chain_ends(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     return state.where("done").select("way", "id", F.col("next").alias("end")), links.join(state.where("not done").select("way", "id"), ["way", "id"], "left_semi")
 
 
+def _merged(arcs: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """arcs(src, dst) after nodes with a single way out (or in) were merged with the node there, and (id, partner, other) of these.
+
+    other are the nodes of the remaining ways in (or out): id is in its partner's component if one of them is. No partner is
+    merged itself: of partners that could be, coins that change with every turn decide.
+    """
+    into = arcs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("before"))
+    out = arcs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("after"))
+    single = into.join(out, "id", "full").select("id", F.when(F.col("n_out") == 1, F.lit(1)).when(F.col("n_in") == 1, F.lit(0)).alias("way"), "before", "after").where("way IS NOT NULL")
+    single = cut(single.select("id", "way", F.when(F.col("way") == 1, F.col("after")).otherwise(F.col("before")).alias("partner")).where("partner IS NOT NULL"))
+    coin = F.xxhash64("id", F.lit(turn)) % 2 == 0
+    tossed = single.join(single.select(F.col("id").alias("partner"), F.lit(True).alias("too")), "partner", "left").select("id", "way", "partner", (coin | F.col("too").isNull()).alias("head"))
+    tossed = cut(tossed)
+    heads = tossed.select(F.col("id").alias("partner"), F.col("head").alias("other_head"))
+    gone = cut(tossed.join(heads, "partner", "left").where("head AND NOT coalesce(other_head, false)").select("id", "way", "partner"))
+    ends = arcs.join(gone.select(F.col("id").alias("src"), F.col("way").alias("src_way"), F.col("partner").alias("src_to")), "src", "left").join(gone.select(F.col("id").alias("dst"), F.col("way").alias("dst_way"), F.col("partner").alias("dst_to")), "dst", "left")
+    # An arc out of a node with one way out, or into a node with one way in, is that way: it goes.
+    ends = cut(ends.where("coalesce(src_way, 0) <> 1 AND coalesce(dst_way, 1) <> 0").select("src", "dst", "src_way", "dst_way", F.coalesce("src_to", "src").alias("a"), F.coalesce("dst_to", "dst").alias("b")))
+    merged = ends.where("dst_way = 1").select(F.col("dst").alias("id"), F.col("b").alias("partner"), F.col("a").alias("other")).unionByName(ends.where("src_way = 0").select(F.col("src").alias("id"), F.col("a").alias("partner"), F.col("b").alias("other")))
+    return cut(ends.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()), cut(merged.distinct())
+
+
+def _joined(label: DataFrame, left_out: DataFrame) -> DataFrame:
+    """(id, component) of left_out(id, partner, other) with a partner and another in one component by label(id, component)."""
+    found = left_out.join(label.select(F.col("id").alias("partner"), F.col("component").alias("p")), "partner", "left").join(label.select(F.col("id").alias("other"), F.col("component").alias("o")), "other", "left")
+    shared = F.coalesce("p", "partner")
+    return found.where(shared == F.coalesce("o", "other")).select("id", shared.alias("component")).distinct()
+
+
 def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(id, component): the smallest id of the strongly connected component, of the edges' ends and of nodes(id).
 
-    Null ids are dropped, loops and repeated edges change nothing. A chain lies in the component of its ends if these share one, else its nodes are their own.
+    Null ids are dropped, loops and repeated edges change nothing. A chain lies in the component
+    of its ends if these share one, else its nodes are their own.
     """
     rows = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
     ids = rows.select(F.explode(F.array("src", "dst")).alias("id"))
     ids = cut((ids if nodes is None else ids.unionByName(nodes.select("id").where("id IS NOT NULL"))).distinct())
     arcs = cut(rows.where("src <> dst").distinct())
-    chains, settled = [], []
+    steps, settled = [], []
     size = arcs.count()
     while size:
         into = arcs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("before"))
@@ -144,29 +175,22 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
         rings = rings.where("way = 1")
         if not rings.isEmpty():
             settled.append(components(rings.select(F.col("id").alias("src"), F.col("next").alias("dst"))))
-        chains.append(chain)
         gone = alone.unionByName(inner.select("id"))
         left = arcs.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
         over = chain.where("head <> tail").select(F.col("head").alias("src"), F.col("tail").alias("dst")).distinct()
         over = over.join(alone.withColumnRenamed("id", "src"), "src", "left_anti").join(alone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst")
-        arcs = cut(left.unionByName(over).distinct())
+        arcs, merged = _merged(cut(left.unionByName(over).distinct()), len(steps))
+        steps.append((chain, merged))
         was, size = size, arcs.count()
         if size > was * (1 - LEAST_SHRINK):
             break
     if size:
         settled.append(strongly_connected(arcs, arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()))
-    label = cut(reduce(DataFrame.unionByName, settled)) if settled else None
-    for chain in reversed(chains):
-        if label is None:
-            # Nothing shares a component but chains that lead back to where they start.
-            named = chain.where("head = tail").select("id", F.col("head").alias("component"))
-        else:
-            found = chain.join(label.select(F.col("id").alias("head"), F.col("component").alias("h")), "head", "left").join(label.select(F.col("id").alias("tail"), F.col("component").alias("t")), "tail", "left")
-            shared = F.coalesce("h", "head")
-            named = found.where(shared == F.coalesce("t", "tail")).select("id", shared.alias("component"))
-        label = cut(named if label is None else label.unionByName(named))
-    if label is None:
-        return ids.select("id", F.col("id").alias("component"))
+    label = cut(reduce(DataFrame.unionByName, settled) if settled else ids.limit(0).select("id", F.col("id").alias("component")))
+    for chain, merged in reversed(steps):
+        # Nodes without a label are their own component.
+        label = cut(label.unionByName(_joined(label, merged.select("id", "partner", "other"))))
+        label = cut(label.unionByName(_joined(label, chain.select("id", F.col("head").alias("partner"), F.col("tail").alias("other")))))
     root = ids.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("root"))
     least = root.groupBy("root").agg(F.min("id").alias("component"))
     return root.join(least, "root").select("id", "component")

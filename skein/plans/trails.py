@@ -52,21 +52,21 @@ def event_loops(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (event_trail, event_trail_both_ways, event_loops)}
 
-_TRAIL = """WITH t AS (SELECT event_id, ts, user_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS at FROM events),
-f AS (SELECT min(at) AS at FROM t GROUP BY user_id), s AS (SELECT at FROM t JOIN f USING (at) WHERE event_type = 'error'),
-p AS (SELECT event_id, user_id, t.at, max(s.at) OVER (ORDER BY t.at) AS low, min(s.at) OVER (ORDER BY t.at DESC) AS high FROM t LEFT JOIN s ON s.at = t.at)
+_TRAIL = """WITH t AS (SELECT event_id, ts, user_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS spot FROM events),
+f AS (SELECT min(spot) AS spot FROM t GROUP BY user_id), s AS (SELECT spot FROM t JOIN f USING (spot) WHERE event_type = 'error'),
+p AS (SELECT event_id, user_id, t.spot, max(s.spot) OVER (ORDER BY t.spot) AS low, min(s.spot) OVER (ORDER BY t.spot DESC) AS high FROM t LEFT JOIN s ON s.spot = t.spot)
 """
 
 ORACLE_SQL = {
-    "event_trail": _TRAIL + "SELECT 'e' || event_id AS id, at - low AS hops FROM p WHERE low IS NOT NULL UNION ALL SELECT 'u' || user_id, 1 + min(at - low) FROM p WHERE low IS NOT NULL GROUP BY user_id",
-    "event_trail_both_ways": _TRAIL + "SELECT 'e' || event_id AS id, least(at - low, high - at) AS hops FROM p WHERE low IS NOT NULL OR high IS NOT NULL",
+    "event_trail": _TRAIL + "SELECT 'e' || event_id AS id, spot - low AS hops FROM p WHERE low IS NOT NULL UNION ALL SELECT 'u' || user_id, 1 + min(spot - low) FROM p WHERE low IS NOT NULL GROUP BY user_id",
+    "event_trail_both_ways": _TRAIL + "SELECT 'e' || event_id AS id, least(spot - low, high - spot) AS hops FROM p WHERE low IS NOT NULL OR high IS NOT NULL",
     # On a line every arc back closes a loop over its span; spans that share an event are one component.
-    "event_loops": """WITH t AS (SELECT event_id, ts, user_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS at FROM events),
-b AS (SELECT *, lag(at) OVER (PARTITION BY user_id ORDER BY at) AS low, lag(ts) OVER (PARTITION BY user_id ORDER BY at) AS before FROM t),
-s AS (SELECT low, at AS high FROM b WHERE event_type = 'error' AND ts < before + INTERVAL 1 HOUR),
+    "event_loops": """WITH t AS (SELECT event_id, ts, user_id, event_type, row_number() OVER (ORDER BY ts, event_id) AS spot FROM events),
+b AS (SELECT *, lag(spot) OVER (PARTITION BY user_id ORDER BY spot) AS low, lag(ts) OVER (PARTITION BY user_id ORDER BY spot) AS before FROM t),
+s AS (SELECT low, spot AS high FROM b WHERE event_type = 'error' AND ts < before + INTERVAL 1 HOUR),
 m AS (SELECT *, max(high) OVER (ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
 g AS (SELECT low, high, count(*) FILTER (reach IS NULL OR reach < low) OVER (ORDER BY low, high) AS g FROM m),
 i AS (SELECT g, min(low) AS low, max(high) AS high FROM g GROUP BY g),
-c AS (SELECT event_id, coalesce(g, -at) AS c FROM t LEFT JOIN i ON at BETWEEN low AND high)
+c AS (SELECT event_id, coalesce(g, -spot) AS c FROM t LEFT JOIN i ON spot BETWEEN low AND high)
 SELECT 'e' || event_id AS id, min('e' || event_id) OVER (PARTITION BY c) AS component FROM c""",
 }
