@@ -8,6 +8,7 @@ side. Only the totals, one number for each partition, pass through the driver.
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 import re
@@ -15,7 +16,6 @@ from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,21 +34,29 @@ BESIDE = f" {SPACE}|{SPACE} |^ | $"
 
 
 #: A letter and a mark or digit after it: byte-level patterns always start a new piece between these two.
+INSIDE = r"[A-Za-zÀ-ÖØ-öø-ɏ][!-@\[-`{-~]"
 BETWEEN = r"^(?s)(?P<head>.*?[A-Za-zÀ-ÖØ-öø-ɏ])(?P<tail>[!-@\[-`{-~].*)$"
-#: Distinct pieces of text whose ids a worker keeps from one slice to the next, at most; a hundred bytes each; then the older half goes.
-KEPT = 400_000
+#: What these patterns leave in one piece: letters, with a space before them or without.
+WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+#: Distinct pieces of text whose ids a worker keeps from one slice to the next, at most; those unused for longest go first.
+KEPT = 100_000
 #: Pieces that the library gets at once.
 JOINED = 400
+#: The character that stands for each byte in byte-level vocabularies: printable ones of Latin-1 as they are, the others from 256 on.
+PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = "".join(chr(b if b in PLAIN else 256 + sum(x not in PLAIN for x in range(b))) for b in range(256))
+FEED = ALPHABET[10]
 
 
 @dataclass
 class Library:
-    """A tokenizer file, the strings of its added tokens, whether texts may be cut at lone spaces, and ids known so far."""
+    """A tokenizer file: ids of texts, ids of bytes that are cut at line feeds only, the strings of its added tokens, whether texts may be cut at lone spaces, and the pieces known so far with their ids."""
 
     encode: Callable[[list[str]], list]
+    encode_lines: Callable[[list[str]], list]
     added: str
     cuts: bool
-    known: dict[str, bytes]
+    known: dict[str, pa.Array]
 
 
 @lru_cache(maxsize=2)
@@ -64,38 +72,69 @@ def library(path: str) -> Library:
     # A byte-level pattern starts a new piece at every space between two other characters.
     cuts = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec.get("normalizer") is None
     added = "|".join(re.escape(x["content"]) for x in spec.get("added_tokens") or [])
-    return Library(lambda texts: [x.ids for x in made.encode_batch_fast(texts, add_special_tokens=False)], added, cuts, {})
+    lines = tokenizers.Tokenizer(made.model)
+    lines.pre_tokenizer = tokenizers.pre_tokenizers.Split(FEED, "isolated")
+    encode, encode_lines = (lambda texts, made=x: [y.ids for y in made.encode_batch_fast(texts, add_special_tokens=False)] for x in (made, lines))
+    return Library(encode, encode_lines, added, cuts, {})
 
 
-def encode_pieces(pieces: list[str], lib: Library) -> list[bytes]:
+def encode_pieces(pieces: list[str], lib: Library) -> pa.Array:
     """The ids of each piece as bytes; pieces without white space but a space before them go to the library by the hundred.
 
-    A line feed between such pieces is a piece of its own with one id, at which the ids are cut again.
+    A line feed between such pieces is a piece of its own with one id, at which the ids are cut again. Of words the library
+    gets the bytes, as it has nothing to cut in them; other pieces it cuts by its pattern first.
     """
     feed = lib.encode(["\n"])[0]
-    out: dict[int, bytes] = {}
-    plain = [i for i, w in enumerate(pieces) if len(feed) == 1 and w[w[:1] == " " :].split() == [w[w[:1] == " " :]]]
-    lines = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)]
-    for some, ids in zip(lines, lib.encode(["\n".join([pieces[i] for i in some]) for some in lines]), strict=True):
-        raw = np.asarray(ids, "<u4")
-        ends = (np.flatnonzero(raw == feed[0]) * 4).tolist()
-        raw = raw.tobytes()
-        out.update((i, raw[p:q]) for i, p, q in zip(some, [0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True))
-    rest = [i for i in range(len(pieces)) if i not in out]
-    out.update((i, array("I", ids).tobytes()) for i, ids in zip(rest, lib.encode([pieces[i] for i in rest]), strict=True))
-    return [out[i] for i in range(len(pieces))]
-
-
-def ids_of(pieces: list[str], lib: Library) -> list[bytes]:
+    out: list[bytes] = [b""] * len(pieces)
+
+    def by_lines(at: list[int], encode: Callable[[list[str]], list], form: Callable[[str], str]) -> None:
+        lines = [at[k : k + JOINED] for k in range(0, len(at), JOINED)]
+        for some, ids in zip(lines, encode([form("\n".join([pieces[i] for i in some])) for some in lines]), strict=True):
+            raw = np.asarray(ids, "<u4")
+            ends = (np.flatnonzero(raw == feed[0]) * 4).tolist()
+            raw = raw.tobytes()
+            for i, p, q in zip(some, [0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True):
+                out[i] = raw[p:q]
+
+    words, plain, rest = [], [], []
+    for i, w in enumerate(pieces):
+        if len(feed) != 1:
+            rest.append(i)
+        elif WORD.fullmatch(w):
+            words.append(i)
+        else:
+            (plain if w[w[:1] == " " :].split() == [w[w[:1] == " " :]] else rest).append(i)
+    by_lines(words, lib.encode_lines, lambda line: codecs.charmap_decode(line.encode(), "strict", ALPHABET)[0])
+    by_lines(plain, lib.encode, str)
+    for i, ids in zip(rest, lib.encode([pieces[i] for i in rest]), strict=True):
+        out[i] = array("I", ids).tobytes()
+    return pa.array(out, pa.binary())
+
+
+def ids_of(pieces: pa.Array, lib: Library) -> pa.Array:
     """The ids of each distinct piece as bytes, from the library or as it gave them before."""
-    known = lib.known
-    new = [w for w in pieces if w not in known]
-    if len(known) + len(new) > KEPT:
-        for w in list(islice(known, len(known) // 2)):
-            del known[w]
-        new = [w for w in pieces if w not in known]
-    known.update(zip(new, encode_pieces(new, lib), strict=True))
-    return list(map(known.__getitem__, pieces))
+    none = pa.array([], pieces.type), pa.array([], pa.binary())
+    known, ids = (lib.known.get(k, x) for k, x in zip(("pieces", "ids"), none, strict=True))
+    at = pc.index_in(pieces, value_set=known)
+    missing = pc.is_null(at)
+    new = pieces.filter(missing)
+    at = np.array(pc.fill_null(at, 0), dtype=np.int64)
+    at[np.asarray(missing)] = np.arange(len(known), len(known) + len(new))
+    found = pa.concat_arrays([ids, encode_pieces(new.to_pylist(), lib)]).take(pa.array(at))
+    # Those of this slice are the last to go.
+    idle = np.ones(len(known) + len(new), bool)
+    idle[at] = False
+    idle = np.flatnonzero(idle[: len(known)])
+    idle = pa.array(idle[max(0, len(idle) + len(pieces) - KEPT) :])
+    lib.known.update(pieces=pa.concat_arrays([known.take(idle), pieces])[-KEPT:], ids=pa.concat_arrays([ids.take(idle), found])[-KEPT:])
+    return found
+
+
+def values_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in an array of bytes, one after another, and their number in each value."""
+    ends = np.frombuffer(lists.buffers()[1], "<i4")[lists.offset : lists.offset + len(lists) + 1].astype(np.int64)
+    raw = lists.buffers()[2]
+    return np.frombuffer(raw, "<u4")[ends[0] // 4 : ends[-1] // 4] if raw else np.zeros(0, "<u4"), np.diff(ends) // 4
 
 
 def tokenise(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -117,16 +156,17 @@ def tokenise(text: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         head = np.zeros(len(words), bool)
         head[offsets[:-1]] = True
         spaced = pc.if_else(pa.array(head), words, pc.binary_join_element_wise(" ", words, "")).dictionary_encode()
-        cut = pc.extract_regex(spaced.dictionary, BETWEEN)
-        first = pc.coalesce(pc.struct_field(cut, "head"), spaced.dictionary).dictionary_encode()
-        rest = pc.fill_null(pc.struct_field(cut, "tail"), "").dictionary_encode()
-        table = ids_of([*first.dictionary.to_pylist(), *rest.dictionary.to_pylist()], lib)
-        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        flat = np.frombuffer(b"".join(table), "<u4")
-        two = np.stack([np.asarray(first.indices, dtype=np.int64), np.asarray(rest.indices, dtype=np.int64) + len(first.dictionary)], axis=1)
-        codes = two[np.asarray(spaced.indices)].ravel()
-        ids = flat[spread((np.cumsum(lengths) - lengths)[codes], lengths[codes])]
-        size[rows] = np.diff(np.concatenate([[0], np.cumsum(lengths[codes])])[2 * offsets])
+        n, inside = len(spaced.dictionary), pc.match_substring_regex(spaced.dictionary, INSIDE)
+        cut = pc.extract_regex(spaced.dictionary.filter(inside), BETWEEN)
+        parts = pa.concat_arrays([spaced.dictionary.filter(pc.invert(inside)), pc.struct_field(cut, "head"), pc.struct_field(cut, "tail")]).dictionary_encode()
+        found = ids_of(parts.dictionary, lib).take(parts.indices)
+        uncut = n - len(cut)
+        table = pa.concat_arrays([found.slice(0, uncut), pc.binary_join_element_wise(found.slice(uncut, len(cut)), found.slice(n), b"")])
+        order = np.argsort(np.asarray(inside), kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        ids, own = values_of(table.take(pa.array(place[np.asarray(spaced.indices)])))
+        size[rows] = np.diff(np.concatenate([[0], np.cumsum(own)])[offsets])
         if not odd.any():
             return ids, np.concatenate([[0], np.cumsum(size)])
         pieces.append((rows, ids))
@@ -157,8 +197,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             for rows in slices(batch, most=2 << 20):
                 ids, ends = tokenise(text_of(rows), tokenizer)
                 n = len(ends) - 1
-                full = np.full(len(ids) + n, END, dtype="<u4")
-                full[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(ends))] = ids
+                full = np.insert(ids, ends[1:], END).astype("<u4", copy=False)
                 ends = ends + np.arange(n + 1)
                 raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * 4).astype("<i4")), pa.py_buffer(full)])
                 yield pa.RecordBatch.from_arrays(

@@ -87,6 +87,31 @@ def test_packing_pieces_apart(monkeypatch):
         assert [ids[p:q].tolist() for p, q in zip(ends[:-1], ends[1:], strict=True)] == [tok.encode(t, add_special_tokens=False).ids for t in texts[at : at + 500]]
 
 
+def test_packing_words_as_bytes(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    tok, lib, got = Tokenizer.from_file(path), packing.library(path), []
+    monkeypatch.setattr(packing, "KEPT", 3)
+    monkeypatch.setattr(lib, "encode", lambda texts, f=lib.encode: (got.extend(texts), f(texts))[1])
+    lib.known.clear()
+    letters = [chr(c) for c in range(33, 0x250) if chr(c).isalpha()]
+    texts = ["the cat's the end, of x9 and\xaa", " ".join(letters), " ".join("é" + c + "Zß" for c in letters), "the end, the cat"]
+    for text in texts:
+        ids, ends = packing.tokenise(pa.array([text, "the"]), path)
+        assert [ids[p:q].tolist() for p, q in zip(ends[:-1], ends[1:], strict=True)] == [tok.encode(t, add_special_tokens=False).ids for t in (text, "the")]
+        assert len(lib.known["pieces"]) == len(lib.known["ids"]) <= 3
+    # Only the separator and what isn't a word passes the library's pattern.
+    passed = [w for line in got for w in line.split("\n")]
+    assert not [w for w in passed if packing.WORD.fullmatch(w)] and "'s" in passed and " and\xaa" in passed
+    lib.known.clear()
+    monkeypatch.setattr(packing, "KEPT", 2)
+    for some in (["a", "b"], ["a"], ["c"]):
+        packing.ids_of(pa.array(some), lib)
+    assert lib.known["pieces"].to_pylist() == ["a", "c"]
+    lib.known.clear()
+
+
 def test_exact_dedup_brute(spark):
     texts = [*ODD, "a\tb", "a b", "a \n b", None, "A b", *["hot copy"] * 500]
     import re
