@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .iterate import cut
 
+#: A residual below this part of the largest eigenvalue can't be told from rounding.
+ROUNDING = 1e-13
+
 
 @dataclass(frozen=True)
 class EigenPairs:
@@ -46,7 +49,8 @@ def _less(y: Column, coefficients: list[float], mean: float) -> Column:
 def lowest_pairs(undirected: DataFrame, k: int = 1, basis: int = 40, tol: float = 1e-9, most: int = 10_000) -> EigenPairs:
     """The k lowest eigenpairs of the Laplacian of a connected graph after the constant vector, with multiplicity as far as the start tells.
 
-    undirected is (a, b[, weight]). A pair is done if its residual is at most tol times the largest eigenvalue met. Fewer than k
+    undirected is (a, b[, weight]). A pair is done if its residual is at most tol times its own value, as the gaps to its neighbours are
+    of that size, or what rounding leaves of the largest eigenvalue met (`ROUNDING`), if that is more. Fewer than k
     come back where the process ends in an invariant subspace; of an empty graph none. Not settling in `most` steps is an error.
     """
     if basis < k + 2:
@@ -68,7 +72,8 @@ def lowest_pairs(undirected: DataFrame, k: int = 1, basis: int = 40, tol: float
             h[:, j - 1] = h[j - 1, :] = column
             theta, s = np.linalg.eigh(h)
             scale = max(1.0, float(np.abs(theta).max()))
-            done = j >= min(k, n - 1) and bool((norm * np.abs(s[-1, :k]) <= tol * scale).all())
+            enough = np.minimum(tol * scale, np.maximum(tol * np.abs(theta[:k]), ROUNDING * scale))
+            done = j >= min(k, n - 1) and bool((norm * np.abs(s[-1, :k]) <= enough).all())
             if done or norm <= 1e-12 * scale or j >= n - 1:
                 return _result(state, links, theta[:k], s[:, :k])
             if j == basis:

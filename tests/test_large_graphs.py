@@ -130,3 +130,18 @@ def test_fiedler_of_nothing(spark):
     assert spectra.fiedler(spark.createDataFrame([], "a string, b string")).count() == 0
     rows = spectra.spectral_embedding(spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string"), k=2).select(F.size("coordinates").alias("k")).collect()
     assert [r.k for r in rows] == [2] * 3
+
+
+def test_residuals_do_not_grow_with_the_largest_eigenvalue(spark):
+    # Hubs with a leaf of great weight each: the largest eigenvalue is near 20,000, the least is below one.
+    rows = [("r", f"h{i}", 1.0) for i in range(6)] + [(f"h{i}", f"l{i}-{k}", 1.0 + i) for i in range(6) for k in range(i + 2)] + [(f"h{i}", f"z{i}", 10000.0 - i) for i in range(6)]
+    found = spectra.fiedler(spark.createDataFrame(rows, "a string, b string, weight double")).collect()
+    names = sorted({x for a, b, _ in rows for x in (a, b)})
+    dense = np.zeros((len(names), len(names)))
+    for a, b, w in rows:
+        i, j = names.index(a), names.index(b)
+        dense[[i, j], [j, i]] -= w
+        dense[[i, j], [i, j]] += w
+    values, vectors = np.linalg.eigh(dense)
+    v = np.asarray([r.v for r in sorted(found, key=lambda r: r.id)])
+    assert found[0].residual < 1e-8 and np.allclose(v, vectors[:, 1] * np.sign(vectors[:, 1] @ v), atol=1e-8)
