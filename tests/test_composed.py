@@ -91,3 +91,14 @@ def test_auc_limits_against_resamples(spark):
     got = metrics.auc_intervals(rows, ["signal"], resamples=600).first()
     assert abs(got.auc - of(score, relevant)) < 1e-9
     assert abs(got.low - np.quantile(drawn, 0.025)) < 0.015 and abs(got.high - np.quantile(drawn, 0.975)) < 0.015
+
+
+@pytest.mark.parametrize("flags", ["NA", "AN"])
+def test_first_of_equal_hits_is_that_of_the_table(spark, tmp_path, flags):
+    from skein.plans import composed
+
+    spark.createDataFrame([(1,), (2,)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    rows = [(7, 1, 3, flags[0], "O"), (7, 1, 3, flags[1], "F"), (9, 1, 1, "A", "F")]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = {r.id: (r.witness, r.n_hits) for r in composed.longest_arguments(spark, str(tmp_path)).collect()}
+    assert found == {1: ("O" if flags[0] == "N" else "q7", 3), 2: (None, 0)}
