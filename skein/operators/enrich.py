@@ -14,19 +14,31 @@ from ..functions import text as T
 LINES = 256
 
 
-def enclosing(points: DataFrame, spans: DataFrame, first: bool = False, bucket: int = LINES) -> DataFrame:
+#: Lines are numbers between -FAR and FAR; spans that go on beyond end there.
+FAR = 1 << 61
+
+
+def enclosing(points: DataFrame, spans: DataFrame, first: bool = False) -> DataFrame:
     """points(file, line, ...) with the innermost span(file, lo, hi, name, pos) around each; first takes the first by pos.
 
-    An equi-join on file and line bucket, so a long file isn't one task; the range is checked on what meets. Points are
-    numbered and written first: both uses of a number see the same one.
+    Lines, lo and hi are whole numbers. A span is a few aligned stretches of 2^k lines, at most two a k; the best span of each stretch
+    is found first, then the best of the stretches that a line lies in, at most one a k. So neither points nor spans that
+    share lines meet each other: rows grow with both, not with their product, in one long file too.
     """
-    keys = cut(points.withColumn("point", F.monotonically_increasing_id())) if "point" not in points.columns else points
-    p = keys.withColumn("bucket", F.floor(F.col("line") / bucket))
-    s = spans.select("file", "lo", "hi", "name", F.col("pos").alias("span_pos")).withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / bucket), F.floor(F.greatest("hi", "lo") / bucket))))
-    met = p.join(s, ["file", "bucket"]).where((F.col("line") >= F.col("lo")) & (F.col("line") <= F.col("hi")))
-    order = F.struct("span_pos", "name") if first else F.struct((F.col("hi") - F.col("lo")).alias("width"), "span_pos", "name")
-    best = met.groupBy("point").agg(F.min_by("name", order).alias("enclosing"))
-    return keys.join(best, "point", "left").drop("point")
+    far = lambda c: F.least(F.greatest(F.col(c).cast("long"), F.lit(-FAR)), F.lit(FAR))
+    order = F.struct("pos", "name") if first else F.struct((F.col("hi").cast("long") - F.col("lo")).alias("width"), "pos", "name")
+    rows = spans.where("lo <= hi AND file IS NOT NULL").select("file", far("lo").alias("lo"), far("hi").alias("hi"), F.struct(order.alias("order"), "name").alias("best"))
+    rows = rows.groupBy("file", "lo", "hi").agg(F.min("best").alias("best"))
+    # Of the stretches of 2^k lines, numbered l to r - 1, that lie within the span those at its ends are in no larger one.
+    k = F.explode(F.sequence(F.lit(0), F.floor(F.log2(F.col("hi") - F.col("lo") + 1.0)).cast("int") + 1))
+    rows = rows.withColumn("k", k).withColumns({"l": F.expr("-shiftright(-lo, k)"), "r": F.expr("shiftright(hi + 1, k)")}).where("l < r")
+    ends = F.array(F.when(F.col("l") % 2 != 0, F.col("l")), F.when(F.col("r") % 2 != 0, F.col("r") - 1))
+    stretches = cut(rows.withColumn("at", F.explode(F.array_distinct(F.array_compact(ends)))).groupBy("file", "k", "at").agg(F.min("best").alias("best")))
+    sizes = [r["k"] for r in stretches.select("k").distinct().collect()]
+    lines = points.select("file", "line").distinct()
+    within = lines.withColumn("k", F.explode(F.array(*[F.lit(s) for s in sorted(sizes)]).cast("array<int>"))).withColumn("at", F.expr("shiftright(cast(line AS bigint), k)"))
+    best = within.join(stretches, ["file", "k", "at"]).groupBy("file", "line").agg(F.min("best").alias("best"))
+    return points.join(best.select("file", "line", F.col("best.name").alias("enclosing")), ["file", "line"], "left").select(*points.columns, "enclosing")
 
 
 def gated(findings: DataFrame, spans: DataFrame, gates: DataFrame) -> DataFrame:

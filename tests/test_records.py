@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +217,25 @@ def test_snapshot_keeps_the_first_of_several(spark, tmp_path):
     (tmp_path / "cves.json").write_text('[{"cve": "cve-1", "title": "b", "score": 1.0}, {"cve": "CVE-1", "title": "a", "score": 9.0}, {"cve": "CVE-1", "title": "a", "score": 2.0}, {"title": "none"}]')
     base = readers.vulnerability_snapshot(spark, str(tmp_path))[0].collect()
     assert [(r.cve, r.title, r.score) for r in base] == [("CVE-1", "a", 2.0)]
+
+
+@pytest.mark.parametrize("first", [False, True])
+def test_enclosing_against_every_pair(spark, first):
+    dice = random.Random(5)
+    spans = [(dice.choice("fg"), lo := dice.randint(-40, 60), lo + dice.choice([-3, 0, 1, 2, 5, 17, 64, 70]), f"s{i % 40:02}", i // 3) for i in range(120)] + [("g", 30, (1 << 63) - 1, "open", 999), (None, 1, 9, "none", 0), ("f", None, 9, "none", 0)]
+    points = [(dice.choice("fgh"), line) for line in range(-45, 140)] * 2 + [("f", None), (None, 3)]
+    df = spark.createDataFrame(spans, "file string, lo long, hi long, name string, pos int")
+    found = enrich.enclosing(spark.createDataFrame(points, "file string, line long"), df, first=first)
+    want = []
+    for file, line in points:
+        around = [((pos, name) if first else (hi - lo, pos, name), name) for f, lo, hi, name, pos in spans if None not in (f, lo, line) and f == file and lo <= line <= hi]
+        want.append((file, line, min(around)[1] if around else None))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+
+
+def test_enclosing_in_one_long_file_compares_no_pairs(spark):
+    n = 60_000
+    spans = spark.range(n).select(F.lit("f").alias("file"), F.col("id").alias("lo"), (F.col("id") + n).alias("hi"), F.concat(F.lit("s"), "id").alias("name"), F.col("id").alias("pos"))
+    points = spark.range(n).select(F.lit("f").alias("file"), F.col("id").alias("line"))
+    wrong = enrich.enclosing(points, spans).where("enclosing <> 's0' OR enclosing IS NULL")
+    assert wrong.isEmpty()
