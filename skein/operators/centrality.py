@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import cut
+from .iterate import cut, numbered
 
 
 def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
@@ -98,16 +98,56 @@ def hitting_rank(probabilities: DataFrame, sources: DataFrame) -> DataFrame:
     return probabilities.join(sources.select("id").distinct(), "id", "left_semi").where("probability > 0").orderBy(F.desc("probability"), "id")
 
 
-def _betweenness_joins(pairs: DataFrame, block_rows: int) -> DataFrame:
-    """(id, score): Brandes by joins for a block of sources at a time; a level is rows (source, id, paths)."""
-    pairs = cut(pairs)
-    n = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct().count()
-    sources = pairs.select(F.col("src").alias("source")).distinct()
-    blocks = -(-sources.count() * n // max(1, block_rows))
+#: Nodes that hang on one other are taken away while that is at least this part of all.
+LEAST_HANGING = 0.02
+
+
+def _hanging(pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """pairs(src, dst) less nodes that only have ways to and from one other, again and again; (id, root, weight, squares) of all nodes; and
+    (id, weight) of those with pairs left.
+
+    weight counts the nodes that hang on id, itself included, squares sums those of the nodes next to it that hang on it;
+    root is what stays of what id hangs on.
+    """
+    ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
+    state = cut(ends.select("id", F.lit(1.0).alias("weight"), F.lit(0.0).alias("squares")))
+    gone, size = [], state.count()
+    while size:
+        out = pairs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("to"))
+        into = pairs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("m"), F.min("src").alias("from"))
+        single = cut(out.join(into, "id").where("n = 1 AND m = 1 AND to = from").select("id", "to"))
+        # Of two that only have each other the smaller one stays.
+        other = single.select(F.col("id").alias("to"), F.lit(True).alias("too"))
+        leaves = cut(single.join(other, "to", "left").where("too IS NULL OR id > to").select("id", "to").join(state, "id"))
+        found = leaves.count()
+        if not found:
+            break
+        got = leaves.groupBy(F.col("to").alias("id")).agg(F.sum("weight").alias("more"), F.sum(F.col("weight") * F.col("weight")).alias("more_squares"))
+        stays = state.join(leaves.select("id"), "id", "left_anti").join(got, "id", "left").fillna(0.0, ["more", "more_squares"])
+        state = cut(stays.select("id", (F.col("weight") + F.col("more")).alias("weight"), (F.col("squares") + F.col("more_squares")).alias("squares")))
+        drop = leaves.select("id")
+        pairs = cut(pairs.join(drop.toDF("src"), "src", "left_anti").join(drop.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+        gone.append(leaves)
+        if found < LEAST_HANGING * size:
+            break
+        size -= found
+    every = state.select("id", F.col("id").alias("root"), "weight", "squares")
+    for leaves in reversed(gone):
+        every = cut(every.unionByName(leaves.join(every.select(F.col("id").alias("to"), "root"), "to").select("id", "root", "weight", "squares")))
+    left = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).distinct()
+    return pairs, every, cut(left.join(state.select("id", "weight"), "id"))
+
+
+def _betweenness_joins(pairs: DataFrame, weights: DataFrame, block_rows: int) -> DataFrame:
+    """(id, score, reach): as in _core, Brandes by joins for a block of sources at a time; a level is rows (source, id, paths)."""
+    n = weights.count()
+    sources = weights.select(F.col("id").alias("source"), F.col("weight").alias("own"))
+    blocks = -(-n * n // max(1, block_rows))
     sources = cut(sources.withColumn("block", F.pmod(F.xxhash64("source"), F.lit(max(1, blocks)))))
     total = None
     for block in range(blocks):
-        level = cut(sources.where(F.col("block") == block).select("source", F.col("source").alias("id"), F.lit(1.0).alias("paths")))
+        own = sources.where(F.col("block") == block).select("source", "own")
+        level = cut(own.select("source", F.col("source").alias("id"), F.lit(1.0).alias("paths")))
         levels, seen = [], level.select("source", "id")
         while not level.isEmpty():
             levels.append(level)
@@ -115,43 +155,41 @@ def _betweenness_joins(pairs: DataFrame, block_rows: int) -> DataFrame:
             level = cut(met.join(seen, ["source", "id"], "left_anti"))
             seen = cut(seen.unionByName(level.select("source", "id")))
         below = None
-        for level in reversed(levels[1:]):
+        for level in reversed(levels):
             delta = level.withColumn("delta", F.lit(0.0))
             if below is not None:
-                share = below.select("source", F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("paths")).alias("share"))
+                share = below.select("source", F.col("id").alias("dst"), ((F.col("weight") + F.col("delta")) / F.col("paths")).alias("share"))
                 back = share.join(pairs, "dst").groupBy("source", F.col("src").alias("id")).agg(F.sum("share").alias("share"))
                 delta = level.join(back, ["source", "id"], "left").select("source", "id", "paths", (F.col("paths") * F.coalesce("share", F.lit(0.0))).alias("delta"))
-            below = cut(delta)
-            part = below.groupBy("id").agg(F.sum("delta").alias("score"))
-            total = cut(part if total is None else total.unionByName(part).groupBy("id").agg(F.sum("score").alias("score")))
-    return total if total is not None else pairs.select(F.col("src").alias("id"), F.lit(0.0).alias("score")).limit(0)
+            below = cut(delta.join(weights, "id").join(own, "source"))
+            start = F.col("source") == F.col("id")
+            part = below.groupBy("id").agg(F.sum(F.when(start, 0.0).otherwise(F.col("own") * F.col("delta"))).alias("score"), F.sum(F.when(start, F.col("delta")).otherwise(F.col("own"))).alias("reach"))
+            total = cut(part if total is None else total.unionByName(part).groupBy("id").agg(F.sum("score").alias("score"), F.sum("reach").alias("reach")))
+    return total if total is not None else weights.select("id", F.lit(0.0).alias("score"), F.lit(0.0).alias("reach")).limit(0)
 
 
-def betweenness(edges: DataFrame, nodes: DataFrame, most_edges: int = 5_000_000, block_rows: int = 50_000_000) -> DataFrame:
-    """(id, score): Brandes, directed, unnormalised, ends excluded; sources are dealt to tasks.
-
-    Up to most_edges the edge list goes to every task as arrays; a longer one stays in tables, and levels of paths are
-    joined with it for so many sources at a time that a block has about block_rows (source, id).
-    """
+def _core(pairs: DataFrame, weights: DataFrame, most_edges: int, block_rows: int) -> DataFrame:
+    """(id, score, reach) of nodes weights(id, weight) that stand for so many each: Brandes, and how many nodes (others') id reaches and is reached by, added."""
     import numpy as np
     import pandas as pd
 
-    pairs = edges.where("src <> dst").select("src", "dst").distinct()
     if pairs.count() > most_edges:
-        total = _betweenness_joins(pairs, block_rows).select(F.col("id").cast("string").alias("id"), "score")
-        return nodes.select(F.col("id").cast("string").alias("id")).distinct().join(total, "id", "left").fillna(0.0, ["score"])
-    frame = pairs.toPandas()
-    codes, names = pd.factorize(np.concatenate([frame["src"], frame["dst"]]), sort=True)
-    src, dst = codes[: len(frame)], codes[len(frame) :]
+        return _betweenness_joins(pairs, weights, block_rows)
+    known = cut(numbered(weights, ["id"], "i"))
+    place = known.select("id", "i")
+    frame = pairs.join(place.toDF("src", "s"), "src").join(place.toDF("dst", "t"), "dst").select("s", "t").toPandas()
+    weight = known.select("i", "weight").toPandas().sort_values("i")["weight"].to_numpy()
+    src, dst = frame["s"].to_numpy(), frame["t"].to_numpy()
     order = np.argsort(src, kind="stable")
     src, dst = src[order], dst[order]
-    first = np.searchsorted(src, np.arange(len(names) + 1))
-    spark = edges.sparkSession
-    shared = spark.sparkContext.broadcast((first, dst, names))
+    first = np.searchsorted(src, np.arange(len(weight) + 1))
+    spark = pairs.sparkSession
+    shared = spark.sparkContext.broadcast((first, dst, weight))
 
     def run(batches):
-        first, dst, names = shared.value
-        score, n = np.zeros(len(names)), len(names)
+        first, dst, weight = shared.value
+        n = len(weight)
+        score, reach = np.zeros(n), np.zeros(n)
         for batch in batches:
             for s in batch["i"]:
                 depth, paths = np.full(n, -1), np.zeros(n)
@@ -173,12 +211,35 @@ def betweenness(edges: DataFrame, nodes: DataFrame, most_edges: int = 5_000_000,
                     at = np.repeat(first[level], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                     a, b = np.repeat(level, size), dst[at]
                     down = depth[b] == depth[a] + 1
-                    np.add.at(delta, a[down], paths[a[down]] / paths[b[down]] * (1 + delta[b[down]]))
-                delta[s] = 0
-                score += delta
-        some = np.flatnonzero(score)
-        yield pd.DataFrame({"id": np.asarray(names)[some].astype(str), "part": score[some]})
-
-    parts = spark.range(len(names)).select(F.col("id").cast("int").alias("i")).mapInPandas(run, "id string, part double")
-    total = parts.groupBy("id").agg(F.sum("part").alias("score"))
+                    np.add.at(delta, a[down], paths[a[down]] / paths[b[down]] * (weight[b[down]] + delta[b[down]]))
+                met = np.concatenate(levels[1:]) if len(levels) > 1 else np.zeros(0, dtype=int)
+                # All paths begin at s: its own delta is the weight of what it reaches.
+                reach[s] += delta[s]
+                reach[met] += weight[s]
+                score[met] += weight[s] * delta[met]
+        some = np.flatnonzero(reach)
+        yield pd.DataFrame({"i": some, "score": score[some], "reach": reach[some]})
+
+    parts = spark.range(len(weight)).select(F.col("id").cast("int").alias("i")).mapInPandas(run, "i long, score double, reach double")
+    return known.join(parts.groupBy("i").agg(F.sum("score").alias("score"), F.sum("reach").alias("reach")), "i").select("id", "score", "reach")
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, most_edges: int = 5_000_000, block_rows: int = 50_000_000) -> DataFrame:
+    """(id, score): Brandes, directed, unnormalised, ends excluded; sources are dealt to tasks.
+
+    Nodes that hang on a single other (ways both in and out, to it alone), and what then does, are counted and taken away first: trees cost
+    a few joins whatever their size. What is left is walked from each of its nodes, each weighed with what hangs on it. Up to
+    most_edges the edge list goes to every task as arrays; a longer one stays in tables, and levels of paths are
+    joined with it for so many sources at a time that a block has about block_rows (source, id).
+    """
+    pairs, every, weights = _hanging(cut(edges.where("src <> dst").select("src", "dst").distinct()))
+    every = every.withColumns({"score": F.lit(0.0), "reach": F.lit(0.0)})
+    if not pairs.isEmpty():
+        core = cut(_core(pairs, weights, most_edges, block_rows))
+        every = every.drop("score", "reach").join(core.select("id", "score"), "id", "left").join(core.select(F.col("id").alias("root"), "reach"), "root", "left").fillna(0.0, ["score", "reach"])
+    # Paths between nodes that hang on id one way or another, and between these and what is beyond, both ways.
+    whole = every.where("id = root").select("root", F.col("weight").alias("whole"))
+    hung = F.col("weight") - 1
+    score = F.col("score") + hung * hung - F.col("squares") + hung * (F.col("reach") + 2 * (F.col("whole") - F.col("weight")))
+    total = every.join(whole, "root").select(F.col("id").cast("string").alias("id"), score.alias("score"))
     return nodes.select(F.col("id").cast("string").alias("id")).distinct().join(total, "id", "left").fillna(0.0, ["score"])

@@ -327,3 +327,42 @@ def test_small_graphs_across_batches(spark):
         assert dense.bridges(edges.where("false")).collect() == []
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+
+
+def brute_betweenness(pairs):
+    out, names = {}, {x for p in pairs for x in p}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    depth, paths = {}, {}
+    for s in names:
+        depth[s], paths[s], level = {s: 0}, {s: 1}, [s]
+        while level:
+            new = {}
+            for a in level:
+                for b in out.get(a, set()) - depth[s].keys():
+                    new[b] = new.get(b, 0) + paths[s][a]
+            depth[s].update(dict.fromkeys(new, len(depth[s]) and depth[s][level[0]] + 1))
+            paths[s].update(new)
+            level = list(new)
+    between = lambda v, s, t: v in depth[s] and t in depth[v] and depth[s][v] + depth[v][t] == depth[s][t]
+    return {v: sum(paths[s][v] * paths[v][t] / paths[s][t] for s in names for t in depth[s] if len({v, s, t}) == 3 and between(v, s, t)) for v in names}
+
+
+@pytest.mark.parametrize("most_edges", [5_000_000, 0])
+def test_betweenness_with_trees_on_a_directed_core(spark, most_edges):
+    dice = np.random.default_rng(3)
+    pairs = {(f"v{a}", f"v{b}") for a, b in dice.integers(0, 12, (30, 2)) if a != b} | {("in", "v1"), ("v2", "out")}
+    for i in range(16):
+        hung = [f"t{i}", f"v{i}" if i < 7 else f"t{(i * 5) % 7 if i < 13 else i - 3}"]
+        pairs |= {tuple(hung), tuple(hung[::-1])}
+    pairs |= {p for a, b in [("x", "y"), ("y", "z"), ("z", "w"), ("z", "u")] for p in ((a, b), (b, a))}
+    g = graph(spark, sorted(pairs))
+    assert got(centrality.betweenness(g.edges, g.nodes, most_edges=most_edges), "id", "score") == pytest.approx(brute_betweenness(pairs))
+
+
+def test_betweenness_of_a_large_tree(spark):
+    n, k = 200_000, 10
+    ends = spark.range(n).select(F.concat(F.lit("l"), "id").alias("src"), F.concat(F.lit("h"), F.col("id") % k).alias("dst")).unionByName(spark.range(k).select(F.concat(F.lit("h"), "id").alias("src"), F.lit("r").alias("dst")))
+    found = got(centrality.betweenness(traverse.both_ways(ends), ends.select(F.col("dst").alias("id"))), "id", "score")
+    hang, whole = n // k, n + k + 1
+    assert found["r"] == (whole - 1) ** 2 - k * (hang + 1) ** 2 and found["h3"] == (whole - 1) ** 2 - hang - (whole - 1 - hang) ** 2
