@@ -14,12 +14,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import Runs, cut
+from .iterate import Runs, cut, numbered
 from .traverse import both_ways, components, strongly_connected
 
+#: Nodes next to each other in an order, and arcs among these, that a task merges at a time.
+BLOCK, BLOCK_ARCS = 1 << 18, 1 << 21
 #: Contraction goes on while it takes away at least this part of the arcs.
 LEAST_SHRINK = 0.1
 
@@ -150,18 +154,81 @@ def _joined(label: DataFrame, left_out: DataFrame) -> DataFrame:
     return found.where(shared == F.coalesce("o", "other")).select("id", shared.alias("component")).distinct()
 
 
-def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def _strong(first: list[int], to: list[int]) -> list[int]:
+    """A node of its strong component for each node of a small graph, whose arcs lead to to[first[v]:first[v + 1]]: one search in depth."""
+    n = len(first) - 1
+    at, number, label = first[:n], [-1] * n, [-1] * n
+    met, bounds, count = [], [], 0
+    for start in range(n):
+        way = [start] if number[start] < 0 else []
+        while way:
+            v = way[-1]
+            if number[v] < 0:
+                number[v], count = count, count + 1
+                met.append(v)
+                bounds.append(number[v])
+            if at[v] < first[v + 1]:
+                w = to[at[v]]
+                at[v] += 1
+                if number[w] < 0:
+                    way.append(w)
+                elif label[w] < 0:
+                    while bounds[-1] > number[w]:
+                        bounds.pop()
+                continue
+            way.pop()
+            if bounds[-1] == number[v]:
+                bounds.pop()
+                while label[v] < 0:
+                    label[met.pop()] = v
+    return label
+
+
+def _blocks_merged(arcs: DataFrame, order: DataFrame, block: int) -> tuple[DataFrame, DataFrame, bool]:
+    """arcs(src, dst) after components within blocks of so many nodes along order(id, at) were merged, (id, root) of these,
+    and whether one block had all arcs, so that what is left has no components."""
+    ends = arcs.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    place = cut(numbered(ends.join(order, "id"), ["at", "id"], "n").select("id", "n"))
+    near = arcs.join(place.toDF("src", "x"), "src").join(place.toDF("dst", "y"), "dst").withColumn("block", F.floor(F.col("x") / block))
+    near = cut(near.where(F.col("block") == F.floor(F.col("y") / block)).select("block", "x", "y"))
+    sizes = near.groupBy("block").agg(F.count(F.lit(1)).alias("k"))
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate([rows["x"], rows["y"]]), return_inverse=True)
+        src, dst = at[: len(rows)], at[len(rows) :]
+        by = np.argsort(src, kind="stable")
+        root = names[_strong(np.searchsorted(src[by], np.arange(len(names) + 1)).tolist(), dst[by].tolist())]
+        return pd.DataFrame({"n": names, "root": root})[root != names]
+
+    found = near.join(sizes.where(F.col("k") <= BLOCK_ARCS), "block").select("block", "x", "y").groupBy("block").applyInPandas(merge, "n long, root long")
+    merged = cut(found.join(place, "n").select("id", F.col("root").alias("n")).join(place.toDF("root", "n"), "n").select("id", "root"))
+    moved = arcs.join(merged.toDF("src", "a"), "src", "left").join(merged.toDF("dst", "b"), "dst", "left").select(F.coalesce("a", "src").alias("src"), F.coalesce("b", "dst").alias("dst"))
+    total, most = sizes.agg(F.sum("k"), F.max("k")).first()
+    whole = total == most and total <= BLOCK_ARCS and total == arcs.count() if total else False
+    return cut(moved.where("src <> dst").distinct()), merged, whole
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame | None = None, order: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """(id, component): the smallest id of the strongly connected component, of the edges' ends and of nodes(id).
 
     Null ids are dropped, loops and repeated edges change nothing. A chain lies in the component
-    of its ends if these share one, else its nodes are their own.
+    of its ends if these share one, else its nodes are their own. Where most arcs are short along order(id, at), whatever their
+    direction, components within blocks of it are merged in tasks first, again while that shrinks the graph; the rest is as without.
     """
     rows = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
     ids = rows.select(F.explode(F.array("src", "dst")).alias("id"))
     ids = cut((ids if nodes is None else ids.unionByName(nodes.select("id").where("id IS NOT NULL"))).distinct())
     arcs = cut(rows.where("src <> dst").distinct())
-    steps, settled = [], []
+    blocks, steps, settled = [], [], []
     size = arcs.count()
+    if order is not None:
+        order = order.where("id IS NOT NULL").groupBy("id").agg(F.min("at").alias("at"))
+    while size and order is not None:
+        arcs, merged, whole = _blocks_merged(arcs, order, block)
+        blocks.append(merged)
+        was, size = size, 0 if whole else arcs.count()
+        if size > was * (1 - LEAST_SHRINK):
+            break
     while size:
         into = arcs.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n_in"), F.min("src").alias("before"))
         out = arcs.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n_out"), F.min("dst").alias("after"))
@@ -191,6 +258,8 @@ def strong_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataF
         # Nodes without a label are their own component.
         label = cut(label.unionByName(_joined(label, merged.select("id", "partner", "other"))))
         label = cut(label.unionByName(_joined(label, chain.select("id", F.col("head").alias("partner"), F.col("tail").alias("other")))))
+    for merged in reversed(blocks):
+        label = cut(label.unionByName(merged.join(label.toDF("root", "component"), "root", "left").select("id", F.coalesce("component", "root").alias("component"))))
     root = ids.join(label, "id", "left").select("id", F.coalesce("component", "id").alias("root"))
     least = root.groupBy("root").agg(F.min("id").alias("component"))
     return root.join(least, "root").select("id", "component")

@@ -47,7 +47,8 @@ def event_loops(spark: SparkSession, d: str) -> DataFrame:
     own = W.partitionBy("user_id").orderBy("at")
     back = trail.withColumns({"before": F.lag("event_id").over(own), "when": F.lag("ts").over(own)}).where("event_type = 'error' AND ts < when + INTERVAL 1 HOUR")
     arcs = _onward(trail).unionByName(back.select(_key("e", "event_id").alias("src"), _key("e", "before").alias("dst")))
-    return longpath.strong_components(arcs, trail.select(_key("e", "event_id").alias("id")))
+    places = trail.select(_key("e", "event_id").alias("id"), "at")
+    return longpath.strong_components(arcs, places, order=places)
 
 
 QUERIES = {f.__name__: f for f in (event_trail, event_trail_both_ways, event_loops)}

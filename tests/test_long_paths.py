@@ -85,6 +85,16 @@ def test_strong_components(spark, tables, monkeypatch, shrink):
     assert sorted((r.id, r.component) for r in rows) == sorted(expected.items())
 
 
+@pytest.mark.parametrize("block", [7, 10**6])
+def test_strong_components_along_an_order(spark, tables, block):
+    arcs, edges, _ = tables
+    nodes = sorted({v for a in arcs for v in a} | {"alone"})
+    reach = {v: set(searched(arcs, [v])) for v in nodes}
+    order = spark.createDataFrame([(v, i) for i, v in enumerate(nodes) if v != "p060"] + [(None, 3), ("p061", 5), ("elsewhere", 9)], "id string, at long")
+    rows = longpath.strong_components(edges, spark.createDataFrame([("alone",)], "id string"), order, block).collect()
+    assert sorted((r.id, r.component) for r in rows) == sorted((v, min(w for w in reach[v] if v in reach[w])) for v in nodes)
+
+
 def test_empty_and_odd_inputs(spark):
     none, ids = spark.createDataFrame([], "src long, dst long"), spark.createDataFrame([(7,)], "id long")
     loop = spark.createDataFrame([(1, 1), (2, None)], "src long, dst long")
