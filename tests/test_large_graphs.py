@@ -145,3 +145,22 @@ def test_residuals_do_not_grow_with_the_largest_eigenvalue(spark):
     values, vectors = np.linalg.eigh(dense)
     v = np.asarray([r.v for r in sorted(found, key=lambda r: r.id)])
     assert found[0].residual < 1e-8 and np.allclose(v, vectors[:, 1] * np.sign(vectors[:, 1] @ v), atol=1e-8)
+
+
+@pytest.mark.parametrize("most", [1 << 20, 20])
+def test_parts_in_tasks_give_the_blocks_of_joins(spark, graph, monkeypatch, most):
+    edges, _, df, g = graph
+    monkeypatch.setattr(forest, "PART_EDGES", most)
+    grouped = lambda rows: {frozenset((r.a, r.b) for r in rows if r.block == k) for k in {r.block for r in rows}}
+    found = forest.blocks(df).collect()
+    assert len(found) == len(edges) and grouped(found) == grouped(forest.blocks(df, g).collect())
+
+
+def test_cycles_of_parts_in_tasks(spark, graph, monkeypatch):
+    _, _, df, g = graph
+    want = sorted(map(tuple, forest.fundamental_cycles(df, g).collect()))
+    written = []
+    monkeypatch.setattr(forest, "cut", lambda x: written.append(1) or iterate.cut(x))
+    assert sorted(map(tuple, forest.fundamental_cycles(df).collect())) == want
+    # By joins alone it takes some forty tables here.
+    assert len(written) < 12
