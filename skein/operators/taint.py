@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .iterate import closure
+from .iterate import Runs, closure, cut
 from .traverse import reaching
 
 
@@ -107,15 +109,20 @@ def interprocedural_contexts(arguments: DataFrame, seeds: DataFrame) -> DataFram
     a context that comes again is the same row and recursion ends. Rows with a null in method or param count for nothing.
     """
     known = lambda c: F.array_sort(F.collect_set(c))
-    start = seeds.where("method IS NOT NULL AND param IS NOT NULL").groupBy("method").agg(known("param").alias("seeds")).select("method", F.lit("").alias("caller"), "seeds")
-    passed = arguments.where("caller IS NOT NULL AND method IS NOT NULL AND caller_param IS NOT NULL AND param IS NOT NULL").select("call", F.col("caller").alias("from"), "caller_param", F.col("method").alias("to"), "param").distinct()
-
-    def step(frontier: DataFrame, calls: DataFrame) -> DataFrame:
-        contexts = frontier.select(F.col("method").alias("from"), "seeds").distinct()
-        met = calls.join(contexts, "from").where(F.array_contains("seeds", F.col("caller_param")))
-        return met.groupBy("from", "call", "to", F.col("seeds").alias("outer")).agg(known("param").alias("seeds")).select(F.col("to").alias("method"), F.col("from").alias("caller"), "seeds")
-
-    return closure(start, passed, ["method", "caller", "seeds"], step)
+    start = seeds.where("method IS NOT NULL AND param IS NOT NULL").groupBy("method").agg(known("param").alias("seeds"))
+    passed = arguments.where("caller IS NOT NULL AND method IS NOT NULL AND caller_param IS NOT NULL AND param IS NOT NULL")
+    # A call is one row with all it passes; calls between the same two that pass the same are one.
+    calls = passed.groupBy("call", F.col("caller").alias("from"), F.col("method").alias("to")).agg(known(F.struct("caller_param", "param")).alias("passes"))
+    calls = cut(calls.select("from", "to", "passes").distinct())
+    frontier, seen, found = cut(start), Runs(), [start.select("method", F.lit("").alias("caller"), "seeds")]
+    # What a call passes depends on its context's method and set alone: each of these is followed once.
+    while size := frontier.count():
+        seen.add(frontier, size)
+        met = calls.join(frontier.select(F.col("method").alias("from"), F.col("seeds").alias("outer")), "from")
+        inner = F.array_sort(F.array_distinct(F.transform(F.filter("passes", lambda p: F.array_contains("outer", p["caller_param"])), lambda p: p["param"])))
+        found.append(cut(met.select(F.col("to").alias("method"), F.col("from").alias("caller"), inner.alias("seeds")).where(F.size("seeds") > 0).distinct()))
+        frontier = cut(found[-1].select("method", "seeds").distinct().join(seen.all(), ["method", "seeds"], "left_anti"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def calls_tainted_sink(calls: DataFrame, sources: DataFrame, sinks: DataFrame) -> DataFrame:

@@ -105,3 +105,14 @@ def test_phrases(spark):
     a, b = ["Open SSL", "nginx", "", None, "x"], ["ssl", "nginx web server", "X", "none"]
     got = phrases.either_way(spark.createDataFrame([(v,) for v in a], "name string"), spark.createDataFrame([(v,) for v in b], "product string"))
     assert {tuple(r) for r in got.collect()} == {("open ssl", "ssl"), ("nginx", "nginx web server"), ("nginx", "x"), ("x", "nginx web server"), ("x", "x")}
+
+
+def test_contexts_follow_each_set_of_a_method_once(spark, monkeypatch):
+    # Callers further and further off pass the same on to one method, which calls the first of them again.
+    rows = [(i, f"m{i}", "p", f"m{i + 1}", "p") for i in range(6)] + [(10 + i, f"m{i}", "p", "last", "q") for i in range(7)] + [(20, "last", "q", "m0", "p"), (21, "last", "q", "m0", "p")]
+    sizes = []
+    monkeypatch.setattr(taint.Runs, "add", lambda self, table, size: sizes.append(size) or self.tables.append(table))
+    found = taint.interprocedural_contexts(spark.createDataFrame(rows, "call long, caller string, caller_param string, method string, param string"), spark.createDataFrame([("m0", "p")], "method string, param string")).collect()
+    want = {("m0", "", "p"), ("m0", "last", "p")} | {(f"m{i + 1}", f"m{i}", "p") for i in range(6)} | {("last", f"m{i}", "q") for i in range(7)}
+    assert {(r.method, r.caller, *r.seeds) for r in found} == want and len(found) == len(want)
+    assert sum(sizes) == 8
