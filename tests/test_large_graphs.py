@@ -164,3 +164,9 @@ def test_cycles_of_parts_in_tasks(spark, graph, monkeypatch):
     assert sorted(map(tuple, forest.fundamental_cycles(df).collect())) == want
     # By joins alone it takes some forty tables here.
     assert len(written) < 20
+
+
+def test_cut_vertices_of_parts_in_tasks(spark, graph):
+    _, _, df, g = graph
+    rows = lambda found: sorted((r.id, r.added) for r in forest.cut_vertices(found).collect())
+    assert rows(forest.blocks(df)) == rows(forest.blocks(df, g))
